@@ -1,14 +1,15 @@
 """Take the answer out of raw model output.
 
 Each (system, setting) pair has a short list of steps, tried in order; the first whose marker
-occurs in the text gives the answer. The steps are data, turned into one CASE expression.
+occurs in the text gives the answer. The steps are data: one CASE picks the step of a row, and the
+text is then cut as that step says.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.lexicon import WS
@@ -39,13 +40,6 @@ class Step:
         leads = text.rlike(f"^{WS}*{LEAD_WORD}( |{WS}*$)")
         return test & (leads if self.led else ~leads)
 
-    def take(self, text: Column) -> Column:
-        source = strip(text) if self.trimmed else text
-        part = source if self.piece is WHOLE else F.split_part(source, F.lit(self.marker), F.lit(self.piece))
-        if self.until == STOP:
-            return F.split_part(part, F.lit("."), F.lit(1))
-        return first_sentence(part) if self.until == SENTENCE else part
-
 
 BLANK_ANSWER = "blank"
 ANY = None
@@ -81,33 +75,57 @@ RULES: dict[str, dict[str | None, tuple[Step, ...] | str]] = {
 CUT_AT_SEMICOLON = (PHI3,)
 
 
-def _by_steps(text: Column, steps: tuple[Step, ...] | str) -> Column:
-    if steps == BLANK_ANSWER:
-        return F.lit("")
-    found = None
-    for step in steps:
-        found = (F if found is None else found).when(step.applies(text), step.take(text))
-    return found.otherwise(text)
+def _literal(step: Step, cut: bool) -> Column:
+    """A step as a struct of constants, so that the text is cut in one place only."""
+    return F.struct(
+        F.lit(step.marker).alias("marker"), F.lit(step.piece or 0).alias("piece"), F.lit(step.until).alias("until"),
+        F.lit(step.trimmed).alias("trimmed"), F.lit(cut).alias("cut"))
+
 
+_KEEP, _BLANK = Step(until=END), Step(until=BLANK_ANSWER)
 
-def extract_answer(text: Column, system: Column, setting: Column) -> Column:
-    """``text`` is already free of markup; an unknown system leaves it unchanged."""
-    answer = None
+
+def choose_step(text: Column, system: Column, setting: Column) -> Column:
+    """The step that applies to a row, as a struct."""
+    chosen = None
     for name, by_setting in RULES.items():
-        per_system = None
+        cut = name in CUT_AT_SEMICOLON
+        named = [key for key in by_setting if key is not ANY]
         for key, steps in by_setting.items():
-            if key is not ANY:
-                per_system = (F if per_system is None else per_system).when(setting == key, _by_steps(text, steps))
-        rest = by_setting.get(ANY)
-        per_system = per_system.otherwise(text if rest is None else _by_steps(text, rest))
-        if name in CUT_AT_SEMICOLON:
-            per_system = F.split_part(per_system, F.lit(";"), F.lit(1))
-        answer = (F if answer is None else answer).when(system == name, per_system)
-    return answer.otherwise(text)
+            here = (system == name) & (~setting.isin(*named) if key is ANY else setting == key)
+            for step in (_BLANK,) if steps == BLANK_ANSWER else steps:
+                found = _literal(step, cut)
+                chosen = (F if chosen is None else chosen).when(here & step.applies(text), found)
+        if cut:
+            chosen = chosen.when(system == name, _literal(_KEEP, True))
+    return chosen.otherwise(_literal(_KEEP, False))
+
+
+def apply_step(text: Column, step: Column) -> Column:
+    source = F.when(step["trimmed"], strip(text)).otherwise(text)
+    part = F.when(step["piece"] == 0, source).otherwise(F.split_part(source, step["marker"], step["piece"]))
+    answer = (F.when(step["until"] == STOP, F.split_part(part, F.lit("."), F.lit(1)))
+              .when(step["until"] == SENTENCE, first_sentence(part))
+              .when(step["until"] == BLANK_ANSWER, F.lit("")).otherwise(part))
+    return F.when(step["cut"], F.split_part(answer, F.lit(";"), F.lit(1))).otherwise(answer)
+
+
+def extract_answer(df: DataFrame, text: str, name: str = "answer", system: str = "system", setting: str = "setting") -> DataFrame:
+    """``text`` is already free of markup; an unknown system leaves it unchanged.
+
+    Works on a table, step by step, so that each text is searched and cut once per row; as one
+    nested expression the parts would be repeated in the generated code.
+    """
+    chosen = df.withColumn("_step", choose_step(F.col(text), F.col(system), F.col(setting)))
+    return chosen.withColumn(name, apply_step(F.col(text), F.col("_step"))).drop("_step")
 
 
-def clean_generated(raw: Column, system: Column, setting: Column) -> Column:
+def clean_generated(df: DataFrame, raw: str, name: str = "adv_text", system: str = "system", setting: str = "setting") -> DataFrame:
     """Markup out, answer taken, first sentence kept, quote balanced. Empty text stays empty."""
-    bare = strip_markup(raw)
-    answer = balance_quote(first_sentence(extract_answer(bare, system, setting)))
-    return F.when(bare == "", F.lit("")).otherwise(answer)
+    bare = df.withColumn("_bare", strip_markup(F.col(raw)))
+    answered = extract_answer(bare, "_bare", "_answer", system, setting)
+    cut = answered.withColumn("_first", first_sentence(F.col("_answer")))
+    kept = F.when(F.col("_bare") == "", F.lit("")).otherwise(balance_quote(F.col("_first")))
+    # the one-element explode is a fence: a later filter on the result would otherwise be pushed below
+    # these steps, with all of their expressions written out in it again
+    return cut.select(*[c for c in df.columns if c != name], F.explode(F.array(kept)).alias(name))

@@ -113,8 +113,7 @@ def strip_markup(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """Up to and with the blank after the first sentence mark; else the right-trimmed text."""
-    head = F.regexp_extract(text, f"^((?s:.*?)[.!?]{WS})", 1)
-    return F.when(head != "", head).otherwise(rstrip(text))
+    return F.regexp_extract(text, rf"^((?s:.*?)(?:[.!?]{WS}|(?={WS}*\z)))", 1)
 
 
 def balance_quote(text: Column) -> Column:

@@ -20,10 +20,10 @@ STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 # joins ---------------------------------------------------------------------------------------
 
 @query("attach_generated", using("v_pair", f"""
-    SELECT doc_id, sent_id, text, upper(text) AS adv_text, label FROM v_pair WHERE len({s_words('text')}) >= 3"""))
+    SELECT doc_id, sent_id, text, 'So: ' || text AS adv_text, label FROM v_pair WHERE len({s_words('text')}) >= 3"""))
 def attach_generated(spark, sf):
     source = fx.pairs(spark, sf).select(*KEYS, "text", "label").where(tx.has_min_words(F.col("text"), 3))
-    generated = source.select(*KEYS, F.upper("text").alias("adv_text"))
+    generated = source.select(*KEYS, F.concat(F.lit("So: "), "text").alias("adv_text"))
     return pairing.attach_generated(source, generated, KEYS).select(*KEYS, "text", "adv_text", "label")
 
 

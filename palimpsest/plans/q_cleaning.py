@@ -73,8 +73,7 @@ def strip_markup(spark, sf):
     stripped=f"SELECT doc_id, sent_id, system, setting, {s_markup('raw_text')} AS bare FROM v_raw"))
 def extract_answer(spark, sf):
     bare = fx.raw_generations(spark, sf).withColumn("bare", tx.strip_markup(F.col("raw_text")))
-    return bare.select(*KEYS, "system", "setting",
-                       answers.extract_answer(F.col("bare"), F.col("system"), F.col("setting")).alias("answer"))
+    return answers.extract_answer(bare, "bare").select(*KEYS, "system", "setting", "answer")
 
 
 @query("first_sentence", f"SELECT doc_id, {s_first_sentence('text')} AS first_sentence FROM documents")
@@ -97,8 +96,8 @@ CLEANED = f"""
 
 @query("clean_generated", using("v_raw", CLEANED))
 def clean_generated(spark, sf):
-    cleaned = answers.clean_generated(F.col("raw_text"), F.col("system"), F.col("setting"))
-    return fx.raw_generations(spark, sf).select(*KEYS, "system", "setting", cleaned.alias("adv_text"))
+    cleaned = answers.clean_generated(fx.raw_generations(spark, sf), "raw_text")
+    return cleaned.select(*KEYS, "system", "setting", "adv_text")
 
 
 def _sql_text(template: str) -> str:
@@ -116,8 +115,8 @@ def _sql_text(template: str) -> str:
     CROSS JOIN (SELECT max(CASE WHEN label = 0 THEN examples END) AS class_0,
                        max(CASE WHEN label = 1 THEN examples END) AS class_1 FROM shown)""",
     shown="""SELECT label, string_agg(text, ' ' ORDER BY doc_id, sent_id) AS examples FROM (
-        SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id, sent_id) AS at FROM v_pair)
-        WHERE at <= 5 GROUP BY label"""))
+        SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id, sent_id) AS nth FROM v_pair)
+        WHERE nth <= 5 GROUP BY label"""))
 def render_prompt(spark, sf):
     pairs = fx.pairs(spark, sf)
     examples = prompts.class_examples(pairs, "text", "label", KEYS)

@@ -12,8 +12,8 @@ from palimpsest.functions.text import has_min_words
 
 def cleaned(raw: DataFrame, least_words: int = 3) -> DataFrame:
     """The batch cleaning step; the stream runs the same expressions."""
-    text = clean_generated(F.coalesce("raw_text", F.lit("")), F.col("system"), F.col("setting"))
-    return raw.withColumn("adv_text", text).drop("raw_text").where(has_min_words(F.col("adv_text"), least_words))
+    filled = raw.withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+    return clean_generated(filled, "raw_text").drop("raw_text").where(has_min_words(F.col("adv_text"), least_words))
 
 
 def clean_stream(spark: SparkSession, source: str, schema: T.StructType, sink: str, progress: str,
