@@ -58,12 +58,16 @@ def content_tokens(text: Column, stop_words=STOP_WORDS) -> Column:
 
 
 def ngrams(items: Column, n: int) -> Column:
-    """Array of n-grams, each one string of items joined by a blank."""
-    if n == 1:
-        return items
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+    """Array of n-grams, each one string of items joined by a blank.
+
+    Built by shifting the array n - 1 times. (A lambda that slices ``items`` would work out an
+    ``items`` that is an expression anew for every element.)
+    """
+    grams = items
+    for shift in range(2, n + 1):
+        after = F.slice(items, shift, F.greatest(F.size(items), F.lit(1)))
+        grams = F.zip_with(grams, after, lambda g, w: F.concat(g, F.lit(" "), w))
+    return F.filter(grams, lambda g: g.isNotNull()) if n > 1 else grams
 
 
 # sentences -----------------------------------------------------------------------------------
@@ -78,19 +82,16 @@ def sentences(text: Column) -> Column:
 
 
 def mean_sentence_length(text: Column) -> Column:
-    sizes = F.transform(sentences(text), lambda s: F.size(words(s)))
-    filled = F.filter(sizes, lambda n: n > 0)
-    total = F.aggregate(filled, F.lit(0), lambda a, n: a + n)
-    return F.try_divide(total.cast("double"), F.size(filled))
+    """Words per sentence. Cuts lie in white space, so the words of the text are those of its sentences."""
+    filled = F.filter(sentences(text), lambda s: s.rlike(NOT_WS))
+    return F.try_divide(F.size(words(text)).cast("double"), F.size(filled))
 
 
 def mean_syllables(text: Column) -> Column:
     """Vowel groups per token."""
     found = tokens(text)
-    groups = F.aggregate(
-        F.transform(found, lambda w: F.size(F.regexp_extract_all(w, F.lit(VOWELS), F.lit(0)))),
-        F.lit(0), lambda a, n: a + n)
-    return F.try_divide(groups.cast("double"), F.size(found))
+    groups = F.regexp_extract_all(F.array_join(found, " "), F.lit(VOWELS), F.lit(0))
+    return F.try_divide(F.size(groups).cast("double"), F.size(found))
 
 
 # cleaning ------------------------------------------------------------------------------------

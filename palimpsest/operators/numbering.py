@@ -23,8 +23,9 @@ _ROW_BITS = 33   # monotonically_increasing_id keeps the row number within a par
 
 
 def chunk_of(position: str | Column, width: int = CHUNK) -> Column:
+    """Number of the run of ``width`` positions (whole numbers from 0) that a position falls in."""
     at = F.col(position) if isinstance(position, str) else position
-    return F.floor(at / F.lit(width)).cast("long")
+    return F.call_function("div", at, F.lit(width))
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_id", partitions: int | None = None) -> DataFrame:
@@ -92,18 +93,18 @@ def next_in_sequence(df: DataFrame, keys: list[str], position: str, values: list
 
     ``position`` is a whole number, not negative, and may have gaps. A key of any length is cut
     into chunks of ``width`` positions; the last row of a chunk takes its values from the first row
-    of the next chunk that has rows. That first row is kept for later chunks alone, so keys shorter
-    than ``width`` add nothing to the summary but their key.
+    of the next chunk that has rows. Those first rows are looked for at positions from ``width`` on
+    alone, a filter that reaches the scan, so shorter keys add nothing but the local window.
     """
     chunked = df.withColumn("_chunk", chunk_of(position, width))
     local = W.partitionBy(*keys, "_chunk").orderBy(position)
     packed = F.struct(*values)
     rows = chunked.withColumn("_next", F.lead(packed).over(local))
-    later = F.when(F.col("_chunk") > 0, packed)
-    heads = chunked.groupBy(*keys, "_chunk").agg(F.min_by(later, position).alias("_head"))
-    across = W.partitionBy(*keys).orderBy("_chunk")
-    follow = heads.select(*keys, "_chunk", F.lead("_head").over(across).alias("_after")).where("_after IS NOT NULL")
-    # only keys with more than one chunk are left in ``follow``
-    found = F.coalesce(F.col("_next"), F.col("_after"))
+    heads = (df.where(F.col(position) >= width).withColumn("_at", chunk_of(position, width))
+             .groupBy(*keys, "_at").agg(F.min_by(packed, position).alias("_head")))
+    across = W.partitionBy(*keys).orderBy("_at")
+    before = F.coalesce(F.lag("_at").over(across), F.lit(0))
+    follow = heads.select(*keys, before.alias("_chunk"), "_head")
+    found = F.coalesce(F.col("_next"), F.col("_head"))
     return (rows.join(follow, [*keys, "_chunk"], "left")
             .select(*df.columns, *[found[v].alias(f"{prefix}{v}") for v in values]))

@@ -16,10 +16,10 @@ def early_stopping(log: DataFrame, run: str = "run_id", step: str = "step", loss
     A run of any length is cut into chunks of ``width`` steps. Within a chunk the running values
     come from a local window; what earlier chunks add (best loss, number of rows, place of the last
     improvement) comes from one summary row per chunk: the last improvement of a chunk is the first
-    row at its least loss, if that beats all earlier chunks.
+    row at its least loss, if that beats all earlier chunks. Every row needs a run and a step.
     """
     local = W.partitionBy(run, "_chunk").orderBy(step)
-    rows = (log.withColumn("_chunk", chunk_of(step, width))
+    rows = (log.withColumn("_chunk", chunk_of(step, width)).where(F.col("_chunk").isNotNull() & F.col(run).isNotNull())
             .withColumn("_at", F.row_number().over(local).cast("long"))
             .withColumn("_best", F.min(loss).over(local.rowsBetween(W.unboundedPreceding, -1))))
     summary = rows.groupBy(run, "_chunk").agg(

@@ -14,8 +14,12 @@ from palimpsest.operators.documents import split_sentences
 from palimpsest.operators.numbering import next_in_sequence, row_ids
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(out, TEXT_TABLES[name]) if name in TEXT_TABLES else out
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -187,7 +187,7 @@ def cosine_tables(source: str, keys: str) -> dict[str, str]:
         "shared": f"""SELECT {mine}, sum(s.w * t.w) AS dot FROM weights s JOIN weights t ON {on} AND s.term = t.term
             AND s.side = 'a' AND t.side = 'b' GROUP BY ALL""",
         "semantic": f"""SELECT {mine}, coalesce(d.dot, 0) / (n.na * n.nb) AS tfidf_cosine FROM {source} s
-            LEFT JOIN norms n ON {on.replace('t.', 'n.')} LEFT JOIN shared d ON {on.replace('t.', 'd.')}""",
+            JOIN norms n ON {on.replace('t.', 'n.')} LEFT JOIN shared d ON {on.replace('t.', 'd.')}""",
     }
 
 
@@ -262,7 +262,7 @@ _TREES = dict(
 
 
 def _templates(spark, sf):
-    pages = fx.spread(fx.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = fx.table(spark, sf, "pages")
     return trees.tree_templates(pages, ["page_id"], trees.tag_marks(F.col("html")))
 
 
@@ -298,7 +298,7 @@ _CLIPPED = """SELECT p.doc_id, p.sent_id, h.n, coalesce(x.ov, 0)::DOUBLE AS ov,
     FROM clipped WHERE n <= 2""", grams=_GRAMS, clipped=_CLIPPED))
 def rouge_n(spark, sf):
     pairs = fx.pairs(spark, sf)
-    by_n = [voc.rouge_n(pairs, KEYS, tx.ngrams(_words("text"), n), tx.ngrams(_words("adv_text"), n)).withColumn("n", F.lit(n))
+    by_n = [voc.rouge_n(pairs, KEYS, _words("text"), _words("adv_text"), n).withColumn("n", F.lit(n))
             for n in (1, 2)]
     return rounded(by_n[0].unionByName(by_n[1]), "recall", "precision", "f1")
 

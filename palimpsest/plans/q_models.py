@@ -18,7 +18,7 @@ from palimpsest.workspace import fresh_path
 
 def _split(spark, sf, name):
     docs = fx.classified(spark, sf).where(F.col("split") == name)
-    return fx.spread(docs.select("doc_id", "text", "label"), "doc_id")
+    return docs.select("doc_id", "text", "label")
 
 
 def _predictions(spark, sf, classifier, feature="TFIDF"):

@@ -12,12 +12,12 @@ from palimpsest.functions import text as tx
 from palimpsest.operators import vocabulary as voc
 from palimpsest.operators.metrics import metric_by_class
 
-ROW_METRICS: dict[str, Callable[[Column, Column], Column]] = {
-    "token_jaccard": lambda a, b: sim.token_jaccard(tx.content_tokens(a), tx.content_tokens(b)),
-    "lexical_overlap": lambda a, b: sim.lexical_overlap(
-        F.array_distinct(tx.content_tokens(a)), F.array_distinct(tx.content_tokens(b))),
-    "sentence_length": lambda a, b: tx.mean_sentence_length(b),
-    "syllables": lambda a, b: tx.mean_syllables(b),
+# over columns of a prepared row: text, rewrite, and the distinct content tokens of both (a, b)
+ROW_METRICS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
+    "token_jaccard": lambda text, rewrite, a, b: sim.token_jaccard(a, b),
+    "lexical_overlap": lambda text, rewrite, a, b: sim.lexical_overlap(a, b),
+    "sentence_length": lambda text, rewrite, a, b: tx.mean_sentence_length(rewrite),
+    "syllables": lambda text, rewrite, a, b: tx.mean_syllables(rewrite),
 }
 TABLE_METRICS: dict[str, Callable[[DataFrame, list[str], str, str], DataFrame]] = {
     "semantics": lambda df, keys, a, b: voc.tfidf_cosine(
@@ -44,8 +44,10 @@ def row_scores(df: DataFrame, keys: list[str], metrics: list[str], text: str = "
         length = F.col("_ops.ref_words").cast("double")
         for name, field in zip(EDIT_METRICS, ("substitutions", "insertions", "deletions")):
             per_row = per_row.withColumn(name, F.try_divide(F.col(f"_ops.{field}").cast("double"), length))
-    own = [ROW_METRICS[m](a, b).alias(m) for m in metrics if m in ROW_METRICS]
-    out = per_row.select(*[c for c in per_row.columns if c not in (text, rewrite, "_ops")], *own)
+    for side, column in (("_a", a), ("_b", b)):   # columns of their own, so that no lambda works them out again
+        per_row = per_row.withColumn(side, F.array_distinct(tx.content_tokens(column)))
+    own = [ROW_METRICS[m](a, b, F.col("_a"), F.col("_b")).alias(m) for m in metrics if m in ROW_METRICS]
+    out = per_row.select(*[c for c in per_row.columns if c not in (text, rewrite, "_ops", "_a", "_b")], *own)
     for m in metrics:
         if m in TABLE_METRICS:
             out = out.join(TABLE_METRICS[m](df, keys, text, rewrite), keys, "left")

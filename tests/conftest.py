@@ -7,10 +7,12 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from palimpsest.session import configure  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[8]").appName("tests")
+    session = (configure(SparkSession.builder).master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
                .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-")).getOrCreate())
