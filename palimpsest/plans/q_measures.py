@@ -13,7 +13,8 @@ from palimpsest.plans import fixtures as fx
 from palimpsest.plans.catalog import query, s_tokens, s_words, using
 from palimpsest.plans.q_cleaning import rewrite_sql
 from palimpsest.plans.q_metrics import edit_tables, rounded
-from palimpsest.plans.quality import DEFAULT_METRICS, quality_report, ready_pairs
+from palimpsest.plans.detection import detection_sides
+from palimpsest.plans.quality import DEFAULT_METRICS, quality_report
 
 KEYS = ["doc_id", "sent_id"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -147,6 +148,33 @@ def meteor(spark, sf):
     return rounded(found.select(*KEYS, score.alias("meteor")), "meteor", places=8)
 
 
+_CANON = """SELECT DISTINCT w AS word, left(w, 2) AS canon FROM (SELECT unnest({b}) AS w FROM benchmark)""".format(b=s_words("lower(text)"))
+_WORDED = """SELECT doc_id, sent_id, 'r' AS side, pos, coalesce(canon, w) AS w FROM (
+      SELECT doc_id, sent_id, unnest({a}) AS w, generate_subscripts({a}, 1) AS pos FROM v_pair) LEFT JOIN canonical ON w = word
+    UNION ALL SELECT doc_id, sent_id, 'h', pos, coalesce(canon, w) FROM (
+      SELECT doc_id, sent_id, unnest({b}) AS w, generate_subscripts({b}, 1) AS pos FROM v_pair) LEFT JOIN canonical ON w = word
+    """.format(a=s_words("lower(text)"), b=s_words("lower(adv_text)"))
+_CANON_PLACED = """SELECT doc_id, sent_id, side, pos, w, row_number() OVER (PARTITION BY doc_id, sent_id, side, w ORDER BY pos DESC) AS k
+    FROM worded"""
+
+
+@query("meteor_synonyms", using("v_pair", f"""
+    SELECT s.doc_id, s.sent_id, round({_FMEAN} * (1 - 0.5 * pow(coalesce(c.chunks / c.m::DOUBLE, 0), 3)), 8) AS meteor FROM sizes s
+    LEFT JOIN chunked c ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id""", canonical=_CANON, worded=_WORDED,
+    placed=_CANON_PLACED, sizes=_SIZES, matched=_MATCHED, chunked=_CHUNKED))
+def meteor_synonyms(spark, sf):
+    """Words of the benchmark texts count as the same if they begin alike (a table of synonym groups)."""
+    known = fx.table(spark, sf, "benchmark").select(F.explode(_words("text")).alias("word")).distinct()
+    synonyms = known.withColumn("canon", F.substring("word", 1, 2))
+    worded = fx.pairs(spark, sf).select(*KEYS, _words("text").alias("ref"), _words("adv_text").alias("hyp"))
+    ref = voc.canonical_words(worded, KEYS, "ref", synonyms)
+    hyp = voc.canonical_words(worded, KEYS, "hyp", synonyms)
+    found = ref.join(hyp, KEYS).select(
+        *KEYS, sim.matched_chunks(F.col("ref"), F.col("hyp")).alias("found"), F.size("ref").alias("nr"), F.size("hyp").alias("nh"))
+    score = sim.meteor_score(F.col("found"), F.col("nh"), F.col("nr"))
+    return rounded(found.select(*KEYS, score.alias("meteor")), "meteor", places=8)
+
+
 # vectors -------------------------------------------------------------------------------------
 
 @query("embedding_cosine", using("v_embpair", """
@@ -347,3 +375,23 @@ _SCORED = f"""SELECT q.*, e.substitutions / nullif(e.ref_words, 0)::DOUBLE AS SU
 def quality(spark, sf):
     report = quality_report(knob_pairs(spark, sf), ["model", "temperature", *KEYS], ["model", "temperature"])
     return rounded(report, "value", "std", places=4)
+
+
+# texts for detection -------------------------------------------------------------------------
+
+_KEPT = f"text IS NOT NULL AND len({s_words('text')}) > 3"
+_SIDES = f"""SELECT 'Original' AS model, 'None' AS temperature, doc_id, sent_id, label, text, 'N' AS obfuscation FROM v_pair_null WHERE {_KEPT}
+    UNION ALL SELECT model, temperature, doc_id, sent_id, label, coalesce(adv_text, ''), 'Y' FROM runs WHERE {_KEPT}"""
+_SIDE_TABLES = dict(rewritten=rewrite_sql("v_pair_null", "doc_id, sent_id"), runs=_RUNS, sides=_SIDES)
+
+
+@query("detection_sides_sent", using("v_pair_null", "SELECT * FROM sides", **_SIDE_TABLES))
+def detection_sides_sent(spark, sf):
+    return detection_sides(fx.pairs_null(spark, sf).drop("adv_text"), knob_pairs(spark, sf), "sent")
+
+
+@query("detection_sides_doc", using("v_pair_null", """
+    SELECT model, temperature, doc_id, CAST(NULL AS BIGINT) AS sent_id, label, string_agg(text, '.' ORDER BY sent_id) AS text, obfuscation
+    FROM sides GROUP BY ALL""", **_SIDE_TABLES))
+def detection_sides_doc(spark, sf):
+    return detection_sides(fx.pairs_null(spark, sf).drop("adv_text"), knob_pairs(spark, sf), "doc")

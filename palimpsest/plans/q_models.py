@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from palimpsest.functions import plugins
 from palimpsest.functions import text as tx
 from palimpsest.plans import fixtures as fx
 from palimpsest.plans import models as md
@@ -107,8 +109,52 @@ def training_pairs(spark, sf):
     return md.training_pairs(fx.pairs_null(spark, sf), ["doc_id", "sent_id"], "text", "adv_text", "label")
 
 
+def split_in_python(text: str):
+    """A stand-in for a caller's processor."""
+    for at, piece in enumerate(re.split(r"(?<=[.!?])[ \t\n\r]+", text)):
+        if piece:
+            yield at, piece
+
+
+@query("process_texts", using("v_sent", "SELECT doc_id, CAST(sent_id AS BIGINT) AS sent_id, text FROM v_sent"))
+def process_texts(spark, sf):
+    docs = fx.labelled_documents(spark, sf).select("doc_id", F.col("text").alias("body"))
+    schema = T.StructType([T.StructField("sent_id", T.LongType()), T.StructField("text", T.StringType())])
+    return plugins.process_texts(docs, ["doc_id"], "body", split_in_python, schema)
+
+
+def share_of_capitals(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A stand-in for a scoring model."""
+    for texts in parts:
+        yield texts.str.count("[A-Z]") / texts.str.len().clip(lower=1)
+
+
+@query("score_texts", r"""
+    SELECT doc_id, round(len(regexp_extract_all(text, '[A-Z]')) / greatest(len(text), 1)::DOUBLE, 6) AS score FROM documents""")
+def score_texts(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return plugins.score_texts(docs, "text", share_of_capitals).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _sentences(spark, sf, wanted):
+    return fx.sentences(spark, sf).where((F.col("doc_id") % 5 == 0) == F.lit(wanted == "test"))
+
+
+def _sentence_knobs(sentences):
+    return _knobs(sentences).withColumnRenamed("system", "model")
+
+
+def _evaluation(spark, sf, level):
+    train, test = _sentences(spark, sf, "train"), _sentences(spark, sf, "test")
+    return evaluate_systems(train, test, _sentence_knobs(train), _sentence_knobs(test), ["SVM"],
+                            ["token_jaccard", "sentence_length", "syllables"], "documents", level)
+
+
 @query("evaluate_systems")
-def whole_evaluation(spark, sf):
-    train, test = _split(spark, sf, "train"), _split(spark, sf, "test")
-    return evaluate_systems(train, test, _knobs(train), _knobs(test), ["SVM"],
-                            ["token_jaccard", "sentence_length", "syllables"], "documents", "doc")
+def evaluate_by_sentence(spark, sf):
+    return _evaluation(spark, sf, "sent")
+
+
+@query("evaluate_systems_doc")
+def evaluate_by_document(spark, sf):
+    return _evaluation(spark, sf, "doc")

@@ -68,7 +68,7 @@ def test_evaluate_systems(spark):
     found = entry.queries()["evaluate_systems"](spark, SF).collect()
     assert set(RESULT_KEYS) < set(found[0].asDict())
     kinds = {(r.model, r.temperature, r.classifier) for r in found}
-    assert ("Original", "None", "SVM") in kinds and ("rewriter", "t1", "ADA_SVM") in kinds
+    assert ("Original", "None", "SVM_sent") in kinds and ("rewriter", "t1", "ADA_SVM_sent") in kinds
     assert ("rewriter", "t0", "quality_ALL") in kinds
     assert len({tuple(r[k] for k in RESULT_KEYS) for r in found}) == len(found)
 
