@@ -11,6 +11,7 @@ from palimpsest.functions import similarity as sim
 from palimpsest.functions import text as tx
 from palimpsest.operators import vocabulary as voc
 from palimpsest.operators.metrics import metric_by_class
+from palimpsest.workspace import stored
 
 # over columns of a prepared row: text, rewrite, and the distinct content tokens of both (a, b)
 ROW_METRICS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
@@ -59,7 +60,14 @@ def row_scores(df: DataFrame, keys: list[str], metrics: list[str], text: str = "
 
 def quality_report(df: DataFrame, keys: list[str], by: list[str], metrics: list[str] | None = None,
                    text: str = "text", rewrite: str = "adv_text", label: str = "label") -> DataFrame:
-    """Long rows (by…, label_group, metric, value, std) for the chosen metrics."""
+    """Long rows (by…, label_group, metric, value, std) for the chosen metrics.
+
+    Metrics that need corpus counts read the pairs several times; what makes the pairs (joins, a
+    rewriter) is then run once, and its outcome written to the shared folder.
+    """
     metrics = metrics or DEFAULT_METRICS
-    scores = row_scores(ready_pairs(df, text, rewrite), keys, metrics, text, rewrite)
+    ready = ready_pairs(df, text, rewrite).select(*dict.fromkeys([*keys, *by, label, text, rewrite]))
+    if set(metrics) & set(TABLE_METRICS):
+        ready = stored(ready, "pairs")
+    scores = row_scores(ready, keys, metrics, text, rewrite)
     return metric_by_class(scores, metrics, by, label)

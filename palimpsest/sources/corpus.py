@@ -41,9 +41,14 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
 
 
 def write_corpus(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
-    """Parquet, one folder per value of ``partitions``; only the folders that ``df`` fills are replaced."""
+    """Parquet, one folder per value of ``partitions``; only the folders that ``df`` fills are replaced.
+
+    Rows are rebalanced by folder first, so that a folder gets few files and not one from every task;
+    a folder that holds a large part of the rows is split over several tasks again.
+    """
     partitions = LAYOUT if partitions is None else partitions
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    placed = df.hint("rebalance", *partitions) if partitions else df
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
