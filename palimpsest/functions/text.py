@@ -34,8 +34,7 @@ def truncate_words(text: Column, n: int) -> Column:
 def edit_words(text: Column) -> Column:
     """Words for edit distance: runs of two or more blanks become one, then cut at blanks only."""
     squeezed = F.regexp_replace(text, f"{WS}{WS}+", " ")
-    trimmed = F.regexp_replace(squeezed, f"^{WS}+|{WS}+$", "")
-    return F.filter(F.split(trimmed, " ", -1), lambda w: w != "")
+    return F.filter(F.split(strip(squeezed), " ", -1), lambda w: w != "")
 
 
 def tokens(text: Column) -> Column:
@@ -97,12 +96,16 @@ def mean_syllables(text: Column) -> Column:
 
 # cleaning ------------------------------------------------------------------------------------
 
+# A blank run at the end, tried only where a run begins: a long run inside a text is passed over once.
+TAIL = rf"(?<!{WS}){WS}++\z"
+
+
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WS}+$", "")
+    return F.regexp_replace(text, TAIL, "")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(text, f"^{WS}++|{TAIL}", "")
 
 
 def strip_markup(text: Column) -> Column:
@@ -115,7 +118,7 @@ def strip_markup(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """Up to and with the blank after the first sentence mark; else the right-trimmed text."""
-    return F.regexp_extract(text, rf"^((?s:.*?)(?:[.!?]{WS}|(?={WS}*\z)))", 1)
+    return F.regexp_extract(text, rf"^((?s:.*?)(?:[.!?]{WS}|(?<!{WS})(?={WS}*+\z)))", 1)
 
 
 def balance_quote(text: Column) -> Column:

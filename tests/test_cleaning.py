@@ -137,3 +137,11 @@ def test_cleaning_leaves_no_markup(spark, texts):
 @pytest.mark.parametrize("text,pieces", [("One. Two! Three", ["One.", "Two!", "Three"]), ("3.5 m", ["3.5 m"]), ("End. ", ["End.", ""])])
 def test_sentences(spark, text, pieces):
     assert values(spark, [text], tx.sentences) == [pieces]
+
+
+def test_long_blank_runs_are_passed_over_once(spark):
+    text = "a" + " " * 200_000 + "b" + " " * 200_000
+    assert values(spark, [text], tx.rstrip) == [text.rstrip()]
+    assert values(spark, [text], tx.first_sentence) == [text.rstrip()]
+    assert values(spark, [text], tx.strip) == [text.strip()]
+    assert values(spark, [" \n a. \x1c\u00a0"], tx.strip) == ["a."]

@@ -30,7 +30,7 @@ def test_classifiers_separate_toy_texts(toy, name, feature):
 def test_tfidf_features(spark):
     texts = spark.createDataFrame([("aa bb bb",), ("aa cc",)], "text string")
     counted = PipelineModel(md.count_stages(1 << 16)).transform(md._prepared(texts, "text"))
-    stages, rows = md.weight_stages(counted, "TFIDF")
+    stages, rows = md.weight_stages(counted, "TFIDF", 1 << 16)
     first = PipelineModel(stages).transform(counted).first().features
     a, b = 1.0, 2 * (math.log(3 / 2) + 1)
     assert rows == 2 and sorted(first.values) == [pytest.approx(a / math.hypot(a, b)), pytest.approx(b / math.hypot(a, b))]
