@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binary_ids, language, mixing, private_data, quality
+from palimpsest.llm import binary_ids, language, mixing, private_data, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op5_language_id, op6_token_ids, op7_private_data, op9_mix_sources, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op4_warc, op5_language_id, op6_token_ids, op7_private_data, op9_mix_sources, op10_quality_rules)}
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS x FROM p),
+        d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest FROM h),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to FROM m""",
     "op9_mix_sources": rf"""
         WITH rows AS (
           SELECT doc_id, source, {WORDS}::BIGINT AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
