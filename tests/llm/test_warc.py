@@ -35,7 +35,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("split", ["256", "256", "4096", "128m"])
+@pytest.mark.parametrize("split", ["256", "4096", "128m"])
 def test_round_trip_with_magic_inside_payloads(spark, split):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     pages = spark.createDataFrame(ROWS[:-2] if split == "256" else ROWS, SCHEMA).coalesce(2)
