@@ -93,9 +93,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from (doc_id, text, lang): rows with a language that are not held out, about ``train_docs`` a language."""
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    share = rows.groupBy("lang").agg((F.lit(train_docs * 1e6) / F.count("*")).alias("share")).withColumnRenamed("lang", "of")
-    chosen = (rows.select("doc_id", "text", "lang").join(share, F.col("lang") == F.col("of"))
-              .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
+    # one number for each language; as a constant it filters the scan, and no text moves that is not learnt from
+    share = {r.lang: train_docs * 1e6 / r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(s)) for lang, s in share.items()], F.lit(0.0))
+    chosen = (rows.select("doc_id", "text", "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < wanted)
               .select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(8))).alias("part")))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
