@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binary_ids, contamination, jaccard, language, mixing, private_data, quality, warc
+from palimpsest.llm import binary_ids, contamination, jaccard, language, lm, mixing, private_data, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.private_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_report(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op9_mix_sources, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules)}
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
