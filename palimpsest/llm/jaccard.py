@@ -11,10 +11,10 @@ reach a prefix. The counters only steer the work: any fixed order gives the same
 Classes. Documents with equal sets are one class (hash of the sorted set); tasks send each class once, however many copies.
 
 Candidates. Postings of the order-A prefixes are dealt by shingle and kept where two classes meet. Instead of all pairs of a
-list, each list links its members to one of them, if their sizes allow it. A pair then must share an order-B prefix shingle
+list, each class is paired with the first class of the lists it is in, the one it meets most often if sizes allow it. A pair then must share an order-B prefix shingle
 (``arrays_overlap``), and the rest is verified on whole sets. Verified links make components; a list inside one component
-is finished, so a group of near copies costs pairs in proportion to its size. A second round links one member of each component
-in a list; what is left, pairs of different components in one list, is enumerated whole, by halves of the components' ranks, so
+is finished, so a group of near copies costs pairs in proportion to its size. A second round pairs classes with one of another component
+of an open list; what is left, pairs of different components in one list, is enumerated whole, by halves of the components' ranks, so
 no pair inside a component is ever formed. Every linked pair is therefore verified or already connected.
 
 Hot lists. A shingle whose counter marks it as hot (``HOT``) is dealt with a salt of the class, in the first pass; lists are
@@ -178,7 +178,8 @@ def postings(docs: DataFrame, table, width: int = WIDTH, percent: int = PERCENT)
 
 
 def meeting(lists: DataFrame) -> DataFrame:
-    """(token, class, n): each list's distinct classes, where there are two at least, or the list is salted."""
+    """(token, class, n, centre, m): each list's distinct classes, where there are two at least or the list is salted, and the
+    first class of the list (of its salt) with its size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -196,8 +197,10 @@ def meeting(lists: DataFrame) -> DataFrame:
             fresh[1:] |= a[2, 1:] != a[2, :-1]
             several = np.bincount(run_of, weights=fresh) > 1
             keep = fresh & (several[run_of] | (a[1] > 0))
+            centre = np.flatnonzero(head)[run_of[keep]]
+            centre, m = a[2, centre], a[3, centre].astype(np.int32)
             a = a[:, keep]
-            return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[2]), pa.array(a[3].astype(np.int32))], ["token", "class", "n"]), [rest]
+            return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[2]), pa.array(a[3].astype(np.int32)), pa.array(centre), pa.array(m)], ["token", "class", "n", "centre", "m"]), [rest]
 
         for batch in batches:
             if not batch.num_rows:
@@ -211,7 +214,7 @@ def meeting(lists: DataFrame) -> DataFrame:
             if got is not None:
                 yield got
     return (lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-            .mapInArrow(run, "token long, class long, n int"))
+            .mapInArrow(run, "token long, class long, n int, centre long, m int"))
 
 
 def _fits(a: str, b: str, percent: int):
@@ -219,11 +222,31 @@ def _fits(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _best(pairs: DataFrame, percent: int) -> DataFrame:
+    """(class, n, other, m) to (a, b): of each class's candidates whose sizes allow it, the one met in most lists."""
+    counted = pairs.filter(_fits("n", "m", percent)).groupBy("class", "other").agg(F.count("*").alias("lists"))
+    best = counted.groupBy("class").agg(F.max(F.struct("lists", "other")).alias("x")).select("class", F.col("x.other").alias("other"))
+    return best.select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).distinct()
+
+
+def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each class with the list's first class that it meets most often."""
+    return _best(lists.filter("class <> centre").select("class", "n", F.col("centre").alias("other"), "m"), percent)
+
+
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Lists (token, class, n, comp): each member with one of another component, where sizes allow it."""
-    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("comp", "class", "n")).alias("c"), F.max("comp").alias("most")).filter("c.comp <> most")
-    both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp")).select("class", "n", F.col("c.class").alias("other"), F.col("c.n").alias("m"))
-    return both.filter(_fits("n", "m", percent)).select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).distinct()
+    """Lists (token, class, n, comp): each class with one of another component, the one it meets most often."""
+    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("comp", "class", "n")).alias("c"))
+    both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp"))
+    return _best(both.select("class", "n", F.col("c.class").alias("other"), F.col("c.n").alias("m")), percent)
+
+
+def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, class, n, comp) of the lists that hold several components."""
+    comps = _small(stored(components(links), "components")).withColumnRenamed("node", "class")
+    named = lists.select("token", "class", "n").join(comps, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    several = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(F.col("token").alias("t"))
+    return stored(named.join(_small(stored(several, "open-tokens")), F.col("token") == F.col("t"), "left_semi"), "open-lists")
 
 
 def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -264,14 +287,18 @@ def class_sets(docs: DataFrame, wanted: DataFrame, table, width: int = WIDTH, pe
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             second = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[pick].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(cls), binary(value, cuts), second], ["class", "set", "second"]).filter(pa.array(right))
-    return chosen.mapInArrow(run, "class long, set binary, second array<long>").dropDuplicates(["class"])
+    return chosen.mapInArrow(run, "class long, set binary, second array<long>")  # repeated rows give a class twice: links may repeat
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share an order-B prefix shingle and are similar."""
-    first = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"), F.col("second").alias("pa"))
-    other = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"), F.col("second").alias("pb"))
-    both = first.join(_small(pairs), "a").join(other, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b", "sa", "sb")
+    """Pairs (a, b) that share an order-B prefix shingle and are similar. Sets travel only for pairs that pass the filter."""
+    pairs = _small(pairs)
+    first = sets.select(F.col("class").alias("a"), F.col("second").alias("pa")).join(pairs, "a")
+    other = sets.select(F.col("class").alias("b"), F.col("second").alias("pb")).join(_small(pairs.select("b").distinct()), "b", "left_semi")
+    passed = _small(stored(first.join(other, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b"), "candidates"))
+    first = sets.select(F.col("class").alias("a"), F.col("set").alias("sa")).join(passed, "a")
+    other = sets.select(F.col("class").alias("b"), F.col("set").alias("sb")).join(_small(passed.select("b").distinct()), "b", "left_semi")
+    both = first.join(other, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,22 +321,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     lists = stored(meeting(postings(docs, table, width, percent)), "shared-shingles")
     namesakes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
 
-    def labelled(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return lists.withColumn("comp", F.col("class"))
-        comps = components(links).withColumnRenamed("node", "class")
-        return lists.join(comps, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-
-    links, sets = None, None
-    asked = None
-    for make in (star_pairs, star_pairs, crossing_pairs):
-        pairs = make(labelled(links), percent)
+    links = sets = asked = None
+    for make in (first_pairs, star_pairs, crossing_pairs):
+        lists = lists if links is None else open_lists(lists, links)
+        pairs = make(lists, percent)
         if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+            pairs = pairs.join(_small(asked), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if sets is not None:
-            ends = ends.join(sets.select("class"), "class", "left_anti")
+            ends = ends.join(_small(sets.select("class")), "class", "left_anti")
         wanted = ends.join(namesakes, "class").select(F.col("least").alias("doc_id"), "class")
         more = stored(class_sets(docs, stored(wanted, "wanted"), table, width, percent), "sets")
         sets = more if sets is None else sets.unionByName(more)
