@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.tables import few
 from palimpsest.workspace import fresh_path, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+SMALL = 200_000
 DATE = "2000-01-01T00:00:00Z"
 _PAGE = "urn:page:"
 
@@ -52,6 +54,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
         "payload_bytes": F.octet_length("html").cast("bigint"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
     first = (rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
              .agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("d", "b", "first"))
+    first = few(stored(first, "warc-copies"), SMALL)  # the payloads themselves are not dealt anew then
     joined = rows.join(first, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
