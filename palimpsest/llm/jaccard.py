@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
+from palimpsest.llm.tables import few
 from palimpsest.llm.tokens import Block, binary, blocks, mix, windows
 from palimpsest.workspace import stored
 
@@ -266,8 +267,7 @@ def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if counted to be small; otherwise Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    return few(df, SMALL)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, table, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

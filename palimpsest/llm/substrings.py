@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.suffixes import suffix_array
+from palimpsest.llm.tables import few
 from palimpsest.llm.tokens import Block, binary, blocks, mix
 from palimpsest.workspace import stored
 
@@ -319,8 +320,7 @@ def _counted(contexts: DataFrame, length: int, spread: int) -> DataFrame:
 # --- tables ---------------------------------------------------------------------------------------------------
 
 def _few(df: DataFrame) -> DataFrame:
-    """Broadcast if counted to be small; otherwise Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    return few(df, SMALL)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, hot: int = HOT, grouped: int = GROUPED) -> tuple[DataFrame, DataFrame]:
