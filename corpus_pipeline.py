@@ -1,17 +1,93 @@
-"""From raw documents to token files: the stages in order, each written as Parquet and read again by the next."""
+"""From raw documents to token files: the stages in order, each written as Parquet and read again by the next.
+
+1. language: drop documents without a letter (or a language for most of their words).
+2. near duplicates: of each group of documents linked by similar word shingles, the one with the smallest id stays.
+3. contamination: drop documents of whose words a twentieth or more are hit by benchmark windows.
+4. mixing: documents as often as the target weights of their sources ask; the last one of a source may be cut.
+5. token ids: encode, write token files, read them back; one row per document in the files.
+
+Stages 1 to 4 return the columns of documents, whatever further columns are there. Decisions are tables of ids. Where ids are
+null or repeated, the rows are numbered and stored first, and decisions go by number: every row is then a document of
+its own, and of a group of near duplicates the first row stays. Null and empty texts have no language and go in stage 1;
+stages 2 to 4 on their own keep, keep and drop them (a text without words fills no target). Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.llm import binary_ids, contamination, jaccard, language, mixing
+from palimpsest.llm.tables import few
 from palimpsest.workspace import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Least share of a document's words in its language.
+LEAST_SHARE = 0.5
+SMALL = 500_000
+_KEY = "_document"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of their own: the id, or a number where ids are null or repeated."""
+    n = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if n.rows == n.ids:
+        return docs.withColumn(_KEY, F.col("doc_id"))
+    return stored(docs.withColumn(_KEY, F.monotonically_increasing_id()), "numbered")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The documents under their key instead of their id."""
+    return docs.drop("doc_id").withColumnRenamed(_KEY, "doc_id")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    gone = few(stored(ids.select(F.col("doc_id").alias(_KEY)), "dropped"), SMALL)
+    return docs.join(gone, _KEY, "left_anti")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = keyed(docs)
+    found = language.label(_named(rows), language.train(_named(rows)))
+    rejected = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE))
+    return _without(rows, rejected).select(docs.columns)
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = keyed(docs)
+    groups = jaccard.near_duplicates(_named(rows))
+    return _without(rows, groups.filter("doc_id <> component_id")).select(docs.columns)
+
+
+def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = keyed(docs)
+    report = contamination.contamination_report(_named(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, report.filter("contaminated")).select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = keyed(docs)
+    return mixing.mixed(rows, _KEY).select(docs.columns)
+
+
+def ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return binary_ids.ids_report(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language_stage),
+    ("near_duplicates", duplicates_stage),
+    ("contamination", contamination_stage),
+    ("mixing", mixing_stage),
+    ("token_ids", ids_stage),
+]
 
+#: Stages 1 and 4 to 5 are a trained model, hashes and a tokenizer; tests compare each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 

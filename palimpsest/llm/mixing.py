@@ -27,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.tables import few
 from palimpsest.workspace import stored
 
 BLANKS = " \t\n\x0b\f\r"
 BLOCK_WORDS = 1 << 16
 SHARD_WORDS = 1 << 22
+SMALL = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -115,14 +117,12 @@ def _hypergeometric(u: Column, pool: Column, marked: Column, drawn: Column) -> C
 
 def shard_quotas(draws: DataFrame, targets: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 17) -> DataFrame:
     """source, shard, first, quota: the run of a source's ranks that each shard gets."""
-    counts = draws.groupBy("source").agg(F.count("*").alias("n"))
-    words = F.sum("wanted")
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(words / shard_words, F.lit(1.0))))).cast("int")
-    listed = counts.agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
-    sized_tree = targets.agg(F.coalesce(depth, F.lit(0)).alias("depth"))
-    # one row each, brought together by a key; the list is as long as there are sources
-    root = (listed.withColumn("one", F.lit(1)).join(sized_tree.withColumn("one", F.lit(1)), "one").filter(F.size("sources") > 0)
-            .withColumn("shard", F.explode(F.expr("sequence(0L, shiftleft(1L, depth) - 1)"))))
+    counts = draws.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sum("wanted") / shard_words, F.lit(1.0))))).cast("int")
+    # one row; its list is as long as there are sources with words
+    listed = (targets.join(counts, F.col("source").eqNullSafe(F.col("of")))
+              .agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"), F.coalesce(depth, F.lit(0)).alias("depth")))
+    root = listed.filter(F.size("sources") > 0).withColumn("shard", F.explode(F.expr("sequence(0L, shiftleft(1L, depth) - 1)")))
     root = root.repartition("shard")
     empty = F.array().cast("array<bigint>")
 
@@ -175,6 +175,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     return every, taken.select("_row", "pass", "shard", "words", F.xxhash64(F.lit(seed), "key", "_row", "pass").alias("place"))
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, by shard and in each shard's order. ``key`` names the rows. Of
+    the cut document, the words taken remain, with the white space in front of and between them; ``n_chars`` follows."""
+    every, taken = mix(docs.drop("doc_id").withColumn("doc_id", F.col(key)), **options)
+    named = taken.join(every.select(F.col("_row").alias("_of"), F.col("doc_id").alias("_name"), "size"), F.col("_row") == F.col("_of"))
+    picks = stored(named.select("_name", "shard", "place", "words", (F.col("words") < F.col("size")).alias("cut")), "mix-picks")
+    rows = docs.join(few(picks, SMALL), F.col(key) == F.col("_name"))
+    blank = r"[\x20\x09-\x0D]"
+    parts = F.split("text", rf"(?<={blank})(?=[^\x20\x09-\x0D])")  # each word with what follows it; white space in front apart
+    front = F.when(F.col("text").rlike(rf"^{blank}"), 1).otherwise(0)
+    whole = rows.filter("not cut")
+    short = rows.filter("cut").withColumn("text", F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), (F.col("words") + front).cast("int")), ""), rf"{blank}+$", ""))
+    if "n_chars" in docs.columns:
+        short = short.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(short).repartition("shard").sortWithinPartitions("shard", "place").select(docs.columns)
+
+
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
     rows, taken = mix(docs, **options)
