@@ -178,18 +178,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, by shard and in each shard's order. ``key`` names the rows. Of
     the cut document, the words taken remain, with the white space in front of and between them; ``n_chars`` follows."""
-    every, taken = mix(docs.drop("doc_id").withColumn("doc_id", F.col(key)), **options)
-    named = taken.join(every.select(F.col("_row").alias("_of"), F.col("doc_id").alias("_name"), "size"), F.col("_row") == F.col("_of"))
-    picks = stored(named.select("_name", "shard", "place", "words", (F.col("words") < F.col("size")).alias("cut")), "mix-picks")
-    rows = docs.join(few(picks, SMALL), F.col(key) == F.col("_name"))
+    every, taken = mix(docs.select(F.col(key).alias("doc_id"), "text", "source"), **options)
+    named = taken.join(every.select(F.col("_row").alias("_of"), F.col("doc_id").alias("_mix_name"), "size"), F.col("_row") == F.col("_of"))
+    picks = stored(named.select("_mix_name", F.col("shard").alias("_mix_shard"), F.col("place").alias("_mix_place"), F.col("words").alias("_mix_words"),
+                                (F.col("words") < F.col("size")).alias("_mix_cut")), "mix-picks")
+    rows = docs.join(few(picks, SMALL), F.col(key) == F.col("_mix_name"))
     blank = r"[\x20\x09-\x0D]"
     parts = F.split("text", rf"(?<={blank})(?=[^\x20\x09-\x0D])")  # each word with what follows it; white space in front apart
     front = F.when(F.col("text").rlike(rf"^{blank}"), 1).otherwise(0)
-    whole = rows.filter("not cut")
-    short = rows.filter("cut").withColumn("text", F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), (F.col("words") + front).cast("int")), ""), rf"{blank}+$", ""))
+    whole = rows.filter("not _mix_cut")
+    short = rows.filter("_mix_cut").withColumn("text", F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), (F.col("_mix_words") + front).cast("int")), ""), rf"{blank}+$", ""))
     if "n_chars" in docs.columns:
         short = short.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(short).repartition("shard").sortWithinPartitions("shard", "place").select(docs.columns)
+    return whole.unionByName(short).repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_place").select(docs.columns)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
