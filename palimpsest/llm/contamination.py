@@ -8,7 +8,7 @@ Search. Benchmark items become windows of ``width`` words (an item of fewer word
 columns counts the test terms in all segments. A window is looked up from its rarest term on: that term's postings, less
 the term's offset, are the possible starts; each further term, in order of rarity, keeps the starts whose offset-adjusted
 position is in its list. All windows of a chunk are intersected at once: a segment's postings, as (term, position), are one
-sorted array. With ``slop`` above 0, a term may stand that many words from its place (proximity match).
+sorted array. With ``slop`` above 0, a term may stand that many words from its place beside the rarest one (proximity match).
 
 Benchmarks of any size are read in blocks of at most ``QUERY_WORDS`` words; each block is a pass over the index, and
 only blocks travel to tasks. Hits of several blocks are merged per document.
@@ -117,14 +117,15 @@ def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[i] == wanted, i, -1) if len(sorted_values) else np.full(len(wanted), -1)
 
 
-def match(windows: Windows, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start position) of every match in one segment; starts are those of the window's first word."""
+def match(windows: Windows, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, first: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, document, start, end) of every match in one segment: the window's place around its rarest term, within the
+    document. ``first``: first position of each document, and the end."""
     here = _find(terms, windows.terms)
     term = np.where(windows.term >= 0, here[np.maximum(windows.term, 0)] if len(here) else -1, -1)
     live = np.flatnonzero(((term >= 0) | (windows.term < 0)).all(axis=1))  # every term is in the segment
     keys = (np.repeat(np.arange(len(terms)), np.diff(offsets.astype(np.int64))) << 32) + positions.astype(np.int64)
     sizes = (offsets[1:].astype(np.int64) - offsets[:-1])[term[live, 0]] if len(live) else np.zeros(0, np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     cuts = np.searchsorted(np.cumsum(sizes), np.arange(CHUNK, sizes.sum() + CHUNK, CHUNK)) + 1 if len(live) else []
     at = 0
     for end in cuts:
@@ -135,22 +136,21 @@ def match(windows: Windows, terms: np.ndarray, offsets: np.ndarray, positions: n
         w = np.repeat(some, n)
         begin = offsets[:-1].astype(np.int64)[term[some, 0]]
         p = positions[np.arange(len(w)) + np.repeat(begin - (np.cumsum(n) - n), n)].astype(np.int64)
+        doc = np.searchsorted(first[1:], p, side="right")
         start = p - windows.offset[w, 0]
-        ok = start >= 0
-        w, start = w[ok], start[ok]
         for k in range(1, term.shape[1]):
             if not len(w):
                 break
             t, place = term[w, k], start + windows.offset[w, k]
-            lowest = (t << 32) + np.maximum(place - slop, 0)
-            i = np.searchsorted(keys, lowest)
-            inside = (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= (t << 32) + place + slop)
-            keep = inside | (windows.term[w, k] < 0)
-            w, start = w[keep], start[keep]
-        found.append((w, start))
+            low, high = np.maximum(place - slop, first[doc]), np.minimum(place + slop, first[doc + 1] - 1)
+            i = np.searchsorted(keys, (t << 32) + low)
+            there = (low <= high) & (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= (t << 32) + high)
+            keep = there | (windows.term[w, k] < 0)
+            w, start, doc = w[keep], start[keep], doc[keep]
+        found.append((w, doc, np.maximum(start, first[doc]), np.minimum(start + windows.length[w], first[doc + 1])))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(f) for f in zip(*found))
 
 
 def _array(batch: pa.RecordBatch, name: str, row: int, kind: str) -> np.ndarray:
@@ -184,11 +184,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
             for row in range(batch.num_rows):
                 segment = batch.column(batch.schema.get_field_index("segment"))[row].as_py()
                 first = _array(batch, "firsts", row, "<u4").astype(np.int64)
-                w, start = match(ordered, *(_array(batch, n, row, k) for n, k in (("terms", "<u8"), ("offsets", "<u4"), ("positions", "<u4"))), slop)
-                end = start + ordered.length[w]
-                doc = np.searchsorted(first[1:], start, side="right")
-                inside = end <= first[np.minimum(doc + 1, len(first) - 1)]
-                w, start, end, doc = w[inside], start[inside], end[inside], doc[inside]
+                w, doc, start, end = match(ordered, *(_array(batch, n, row, k) for n, k in (("terms", "<u8"), ("offsets", "<u4"), ("positions", "<u4"))), first, slop)
                 out = []
                 order = np.lexsort((start, doc))
                 cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
