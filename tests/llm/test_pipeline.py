@@ -6,7 +6,9 @@ import pytest
 
 import corpus_pipeline
 from palimpsest.workspace import stored
-from tests.llm import test_contamination, test_jaccard, test_mixing_and_ids
+from tests.llm.test_contamination import brute as hit_words
+from tests.llm.test_jaccard import brute as linked
+from tests.llm.test_mixing_and_ids import WORD, plain_targets
 
 SF = "/root/testdata/sf0.001"
 LETTER = re.compile(r"[^\W\d_]")
@@ -31,27 +33,27 @@ def test_language(stages):
 
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
-    want = {i for i, _, c in test_jaccard.brute([(r.doc_id, r.text) for r in before]) if i == c}
+    want = {i for i, _, c in linked([(r.doc_id, r.text) for r in before]) if i == c}
     assert {r.doc_id for r in after} == want and len(after) == len(want) < len(before)
 
 
 def test_contamination(stages, spark):
     before, after = stages["contamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = {r[0] for r in test_contamination.brute([(r.doc_id, r.text) for r in before], items) if not r[5]}
+    want = {r[0] for r in hit_words([(r.doc_id, r.text) for r in before], items) if not r[5]}
     assert {r.doc_id for r in after} == want and len(want) < len(before)
 
 
 def test_mixing(stages):
     before, after = stages["mixing"]
-    size = lambda t: len(test_mixing_and_ids.WORD.findall(t or ""))
+    size = lambda t: len(WORD.findall(t or ""))
     sizes, got = {}, {}
     for r in before:
         sizes[r.source] = sizes.get(r.source, 0) + size(r.text)
     for r in after:
         got[r.source] = got.get(r.source, 0) + size(r.text)
         assert r.n_chars == len(r.text)
-    for s, target in test_mixing_and_ids.plain_targets(sizes).items():
+    for s, target in plain_targets(sizes).items():
         assert abs(got.get(s, 0) - target) <= 0.5
 
 
