@@ -11,7 +11,7 @@ reach a prefix. The counters only steer the work: any fixed order gives the same
 Classes. Documents with equal sets are one class (hash of the sorted set); tasks send each class once, however many copies.
 
 Candidates. Postings of the order-A prefixes are dealt by shingle and kept where two classes meet. Instead of all pairs of a
-list, each class is paired with the first class of the lists it is in, the one it meets most often if sizes allow it. A pair then must share an order-B prefix shingle
+list, each class is paired with the first class of one of its lists, if sizes and places in the order allow it. A pair then must share an order-B prefix shingle
 (``arrays_overlap``), and the rest is verified on whole sets. Verified links make components; a list inside one component
 is finished, so a group of near copies costs pairs in proportion to its size. A second round pairs classes with one of another component
 of an open list; what is left, pairs of different components in one list, is enumerated whole, by halves of the components' ranks, so
@@ -44,7 +44,7 @@ from palimpsest.workspace import stored
 
 WIDTH, PERCENT = 5, 75
 SKETCH, SLICES = 1 << 20, 64
-HOT, SALTS, SMALL = 20_000, 16, 1_000_000
+HOT, SALTS, SMALL = 20_000, 16, 300_000
 
 
 def shingles(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,8 @@ def _taken(cuts: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, table, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(token, salt, class, n) of the order-A prefixes; a task sends each class once."""
+    """(token, class, info) of the order-A prefixes; a task sends each class once. info: salt, place in the order and size of the
+    set, in 7, 28 and 28 bits."""
     mean = max(float(table.value.mean()), 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,42 +172,54 @@ def postings(docs: DataFrame, table, width: int = WIDTH, percent: int = PERCENT)
             order = _ranked(text, value, rank, 0x1234567, block.rows)
             size = np.where(new, _prefix(cuts, percent), 0)
             pick = order[_taken(cuts, size)]
+            at = np.arange(len(pick)) - np.repeat(np.cumsum(size) - size, size)
             c = cls[text[pick]]
             hot = rank[pick] > mean + HOT
-            salt = np.where(hot, 1 + (c.view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(value[pick].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c), pa.array(n[text[pick]].astype(np.int32))], ["token", "salt", "class", "n"])
-    return docs.select("text").mapInArrow(run, "token long, salt int, class long, n int")
+            salt = np.where(hot, 1 + (c.view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
+            info = salt << 56 | at << 28 | n[text[pick]]
+            yield pa.RecordBatch.from_arrays([pa.array(value[pick].view(np.int64)), pa.array(c), pa.array(info)], ["token", "class", "info"])
+    return docs.select("text").mapInArrow(run, "token long, class long, info long")
 
 
-def meeting(lists: DataFrame) -> DataFrame:
-    """(token, class, n, centre, m): each list's distinct classes, where there are two at least or the list is salted, and the
-    first class of the list (of its salt) with its size."""
+def meeting(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(token, class, n, at, centre, m, mat, size): each list's distinct classes, where there are two at least that may fit
+    another, or the list is salted; the first class of the list (of its salt) with its size and place; the length of the list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out(parts: list[np.ndarray], open_end: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
             a = np.concatenate(parts, axis=1)
-            key = a[0].view(np.uint64) * np.uint64(31) + a[1].view(np.uint64)
+            key = a[0].view(np.uint64) * np.uint64(31) + (a[2] >> 56).view(np.uint64)
             head = np.ones(a.shape[1], bool)
             head[1:] = key[1:] != key[:-1]
             last = int(np.flatnonzero(head)[-1]) if open_end else a.shape[1]
             rest, a, head = a[:, last:], a[:, :last], head[:last]
             if not a.shape[1]:
                 return None, [rest]
-            run_of = np.cumsum(head) - 1
             fresh = head.copy()
-            fresh[1:] |= a[2, 1:] != a[2, :-1]
-            several = np.bincount(run_of, weights=fresh) > 1
-            keep = fresh & (several[run_of] | (a[1] > 0))
-            centre = np.flatnonzero(head)[run_of[keep]]
-            centre, m = a[2, centre], a[3, centre].astype(np.int32)
-            a = a[:, keep]
-            return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[2]), pa.array(a[3].astype(np.int32)), pa.array(centre), pa.array(m)], ["token", "class", "n", "centre", "m"]), [rest]
+            fresh[1:] |= a[1, 1:] != a[1, :-1]
+            a, head = a[:, fresh], head[fresh]
+            n, at, salted = a[2] & ((1 << 28) - 1), a[2] >> 28 & ((1 << 28) - 1), a[2] >> 56 > 0
+            # the largest set that fits if this is the first shared shingle; a list must hold one that small, and one that allows this size
+            largest = (n - at) * (100 + percent) // percent - n
+            heads = np.flatnonzero(head)
+            run_of = np.cumsum(head) - 1
+            hope = (largest >= np.minimum.reduceat(n, heads)[run_of]) & (n <= np.maximum.reduceat(largest, heads)[run_of])
+            keep = hope | salted
+            length = np.bincount(run_of, weights=keep).astype(np.int64)[run_of]
+            keep &= (length > 1) | salted
+            a, n, at, run_of, length = a[:, keep], n[keep], at[keep], run_of[keep], length[keep]
+            if not len(n):
+                return None, [rest]
+            begin = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1]))
+            first = begin[np.searchsorted(begin, np.arange(len(n)), side="right") - 1]
+            small = lambda x: pa.array(x.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1]), small(n), small(at), pa.array(a[1][first]), small(n[first]), small(at[first]), small(length)], _LIST), [rest]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)]))
+            held.append(np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)]))
             got, held = out(held, True)
             if got is not None and got.num_rows:
                 yield got
@@ -214,44 +227,52 @@ def meeting(lists: DataFrame) -> DataFrame:
             got, _ = out(held, False)
             if got is not None:
                 yield got
-    return (lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-            .mapInArrow(run, "token long, class long, n int, centre long, m int"))
+    salt = F.shiftright("info", 56)
+    return (lists.repartition("token", salt).sortWithinPartitions("token", salt, "class")
+            .mapInArrow(run, "token long, class long, n int, at int, centre long, m int, mat int, size int"))
+
+
+_LIST = ["token", "class", "n", "at", "centre", "m", "mat", "size"]
 
 
-def _fits(a: str, b: str, percent: int):
-    """Can sets of these sizes be similar?"""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def _fits(n: str, at: str, m: str, mat: str, percent: int):
+    """Can sets of these sizes be similar if this is the first shingle they share under order A? All others that they share
+    are behind it. Of similar sets, the first shared one always passes."""
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(mat)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
 
 
-def _best(pairs: DataFrame, percent: int) -> DataFrame:
-    """(class, n, other, m) to (a, b): of each class's candidates whose sizes allow it, the one met in most lists."""
-    counted = pairs.filter(_fits("n", "m", percent)).groupBy("class", "other").agg(F.count("*").alias("lists"))
-    best = counted.groupBy("class").agg(F.max(F.struct("lists", "other")).alias("x")).select("class", F.col("x.other").alias("other"))
-    return best.select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).distinct()
+def _best(pairs: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """(class, other, weight) to (a, b): of each class's candidates that were not asked yet, the one with most weight. Short lists
+    weigh more: what few share tells most."""
+    summed = pairs.groupBy("class", "other").agg(F.sum("weight").alias("weight")).withColumns({"a": F.greatest("class", "other"), "b": F.least("class", "other")})
+    summed = summed if asked is None else summed.join(_small(asked), ["a", "b"], "left_anti")
+    best = summed.groupBy("class").agg(F.max(F.struct("weight", "a", "b")).alias("x"))
+    return best.select("x.a", "x.b").distinct()
 
 
-def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with the list's first class that it meets most often."""
-    return _best(lists.filter("class <> centre").select("class", "n", F.col("centre").alias("other"), "m"), percent)
+def first_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> DataFrame:
+    """Each class with one of the first classes of its lists."""
+    met = lists.filter("class <> centre").filter(_fits("n", "at", "m", "mat", percent))
+    return _best(met.select("class", F.col("centre").alias("other"), (1.0 / F.col("size")).alias("weight")), asked)
 
 
-def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Lists (token, class, n, comp): each class with one of another component, the one it meets most often."""
-    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("comp", "class", "n")).alias("c"))
-    both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp"))
-    return _best(both.select("class", "n", F.col("c.class").alias("other"), F.col("c.n").alias("m")), percent)
+def star_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> DataFrame:
+    """Lists (token, class, n, at, comp): each class with one class of another component."""
+    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("comp", "class", "n", "at")).alias("c"), F.count("*").alias("size"))
+    both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp")).withColumns({"m": F.col("c.n"), "mat": F.col("c.at")})
+    return _best(both.filter(_fits("n", "at", "m", "mat", percent)).select("class", F.col("c.class").alias("other"), (1.0 / F.col("size")).alias("weight")), asked)
 
 
 def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, class, n, comp) of the lists that hold several components."""
+    """(token, class, n, at, comp) of the lists that hold several components."""
     comps = _small(stored(components(links), "components")).withColumnRenamed("node", "class")
-    named = lists.select("token", "class", "n").join(comps, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    named = lists.select("token", "class", "n", "at").join(comps, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
     several = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(F.col("token").alias("t"))
     return stored(named.join(_small(stored(several, "open-tokens")), F.col("token") == F.col("t"), "left_semi"), "open-lists")
 
 
-def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's members that lie in different components, each once per list."""
+def crossing_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> DataFrame:
+    """All pairs of a list's members that lie in different components and fit, but for those asked."""
     from pyspark.sql import Window
 
     ranks = lists.select("token", "comp").distinct().withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("comp")) - 1)
@@ -259,11 +280,12 @@ def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
     ranked = lists.join(ranks.join(top, "token"), ["token", "comp"])
     # different ranks differ first in one bit: there, halves of a run of ranks meet
     at = ranked.withColumn("bit", F.explode(F.expr("sequence(0, cast(floor(log2(top)) as int))")))
-    side = at.select("token", "bit", F.expr("shiftright(r, bit + 1)").alias("run"), (F.expr("shiftright(r, bit)") % 2).alias("half"), "class", "n")
-    left = side.filter("half = 0").select("token", "bit", "run", F.col("class").alias("x"), F.col("n").alias("xn"))
-    right = side.filter("half = 1").select("token", "bit", "run", F.col("class").alias("y"), F.col("n").alias("yn"))
-    met = left.join(right, ["token", "bit", "run"]).filter(_fits("xn", "yn", percent))
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    side = at.select("token", "bit", F.expr("shiftright(r, bit + 1)").alias("run"), (F.expr("shiftright(r, bit)") % 2).alias("half"), "class", "n", "at")
+    left = side.filter("half = 0").select("token", "bit", "run", F.col("class").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"))
+    right = side.filter("half = 1").select("token", "bit", "run", F.col("class").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"))
+    met = left.join(right, ["token", "bit", "run"]).filter(_fits("xn", "xat", "yn", "yat", percent))
+    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return pairs if asked is None else pairs.join(_small(asked), ["a", "b"], "left_anti")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -318,16 +340,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     found = stored(survey(docs, width), "shingle-survey")
     members = found.filter("slice is null").select("doc_id", "n", "class")
     table = spark.sparkContext.broadcast(counters(found))
-    lists = stored(meeting(postings(docs, table, width, percent)), "shared-shingles")
+    lists = stored(meeting(postings(docs, table, width, percent), percent), "shared-shingles")
     namesakes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
 
     links = sets = asked = None
     for make in (first_pairs, star_pairs, crossing_pairs):
         lists = lists if links is None else open_lists(lists, links)
-        pairs = make(lists, percent)
-        if asked is not None:
-            pairs = pairs.join(_small(asked), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(make(lists, percent, asked), "pairs")
         ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if sets is not None:
             ends = ends.join(_small(sets.select("class")), "class", "left_anti")
