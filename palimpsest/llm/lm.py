@@ -19,8 +19,8 @@ words, and for pairs logarithms of probabilities (relative to N) in steps of 2^(
 byte string whose parts are used where they lie, in an Arrow buffer or a memory-mapped file.
 
 Defined cases: null and empty texts have the end only; no learning texts: every word is unknown, N is 0 and scores are
-those of the base; repeated rows are scored alike and all counted; other columns are not read. Words are told apart by 64
-bits of hash, successors of one context by 32.
+those of the base; repeated rows are scored alike and all counted; other columns are not read. Words are told apart by 48
+bits of hash and the shard, successors of one context by 32.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.tokens import binary, blocks, mix
 from palimpsest.workspace import stored
 
-BLOCK_BYTES, SPLIT, STEPS, CLASSES = 4 << 20, 16, 256, 48
+BLOCK_BYTES, SPLIT, STEPS, CLASSES = 8 << 20, 16, 256, 48
 END = np.uint64(0x1D8E4E27C47D124F)
 
 
@@ -223,6 +223,18 @@ def _distinct(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray,
     return distinct[order], shard[order], place[codes] if len(codes) else codes
 
 
+def _keys(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Keys without their low 16 bits: with the shard, which the low bits choose, enough to tell them apart."""
+    return binary(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:].copy().view("V6").ravel(), cuts)
+
+
+def _read_keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    raw, cuts = _join(column, np.uint8)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64), cuts // 6
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -244,8 +256,8 @@ def _ask(shards: int):
         heads = np.flatnonzero(head)
         c = np.searchsorted(heads, p)
         fan = np.diff(np.append(heads, len(t.codes))).astype("<u4")
-        return pa.table([pa.array(np.arange(shards), pa.int64()), pa.array(np.full(shards, key[0].as_py()), pa.int64()), binary(t.words.astype("<u8"), w), binary(word_counts, w),
-                         binary(t.contexts[heads].astype("<u8"), c), binary(fan, c), binary(t.codes.astype("<u4"), p), binary(pair_counts, p)],
+        return pa.table([pa.array(np.arange(shards), pa.int64()), pa.array(np.full(shards, key[0].as_py()), pa.int64()), _keys(t.words, w), binary(word_counts, w),
+                         _keys(t.contexts[heads], c), binary(fan, c), binary(t.codes.astype("<u4"), p), binary(pair_counts, p)],
                         names=[x.split()[0] for x in _ASK.split(", ")])
     return ask
 
@@ -259,9 +271,9 @@ def _join(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    words, w = _join(table["words"], "<u8")
+    words, w = _read_keys(table["words"])
     n, _ = _join(table["word_counts"], "<u4")
-    contexts, _ = _join(table["contexts"], "<u8")
+    contexts, _ = _read_keys(table["contexts"])
     fan, _ = _join(table["fan"], "<u4")
     codes, p = _join(table["codes"], "<u4")
     m, _ = _join(table["pair_counts"], "<u4")
