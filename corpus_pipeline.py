@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import binary_ids, contamination, jaccard, language, mixing
-from palimpsest.llm.tables import few
+from palimpsest.llm.tables import few, lean
 from palimpsest.workspace import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,6 +33,7 @@ _KEY = "_document"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key of their own: the id, or a number where ids are null or repeated."""
+    lean(docs.sparkSession)
     n = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if n.rows == n.ids:
         return docs.withColumn(_KEY, F.col("doc_id"))
@@ -76,6 +77,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    lean(spark)
     return binary_ids.ids_report(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

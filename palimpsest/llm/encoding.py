@@ -21,7 +21,7 @@ from palimpsest.llm import tokens
 from palimpsest.llm.tokens import BYTES, Block
 
 #: Pieces a worker remembers at most; then it starts anew. Bounds memory (about 25 bytes each), not results.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 # classes: 0 white space, 1 letter, 2 digit, 3 mark, 4 no cut inside or beside
 _CLASS = np.full(256, 4, np.uint8)

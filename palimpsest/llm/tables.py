@@ -1,10 +1,20 @@
-"""Joins with a side whose size is known."""
+"""Joins with a side whose size is known, and batches of bounded size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows in an Arrow batch: with texts of some thousand bytes, a batch is a few megabytes in the JVM and in Python.
+BATCH_ROWS = "1000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches, where the session has Spark's default of 10,000 rows. Results don't depend on it."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
 
 def few(df: DataFrame, most: int) -> DataFrame:
     """Marked for broadcast if it is counted to have at most ``most`` rows; otherwise Spark joins by shuffle."""
