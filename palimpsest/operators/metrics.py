@@ -22,19 +22,21 @@ def _f1(precision: Column, recall: Column) -> Column:
 
 
 def _cells(df: DataFrame, truth: str, pred: str, by: list[str]) -> DataFrame:
+    """Counts of the four outcomes and of all rows; a row whose label or prediction is neither 0 nor 1 is in ``n`` only."""
     y, p = F.col(truth), F.col(pred)
     return df.groupBy(*by).agg(
+        F.count("*").alias("n"),
         F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 0) & (p == 1)).alias("fp"), F.count_if((y == 1) & (p == 0)).alias("fn"))
 
 
 def binary_metrics(df: DataFrame, truth: str = "y", pred: str = "yhat", by: list[str] | None = None) -> DataFrame:
-    """Accuracy, MCC, and recall, precision and F1 for class 1 and class 0."""
+    """Accuracy, MCC, and recall, precision and F1 for class 1 and class 0. Rows without a 0/1 label or prediction count as wrong."""
     by = by or []
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     rates = _cells(df, truth, pred, by).select(
         *by,
-        _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"), _mcc(tp, tn, fp, fn).alias("mcc"),
+        _ratio(tp + tn, F.col("n")).alias("accuracy"), _mcc(tp, tn, fp, fn).alias("mcc"),
         _ratio(tp, tp + fn).alias("recall"), _ratio(tn, tn + fp).alias("recall_0"),
         _ratio(tp, tp + fp).alias("precision"), _ratio(tn, tn + fn).alias("precision_0"))
     return rates.select(

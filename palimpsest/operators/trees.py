@@ -18,10 +18,11 @@ def parse_marks(parse: Column) -> Column:
 def tag_marks(html: Column) -> Column:
     """The same marks for page tags: ``(p`` and ``)``; an element without an end tag closes at once."""
     tags = F.regexp_extract_all(html, F.lit("</?[a-z0-9]+"), F.lit(0))
-    opened = lambda t: F.concat(F.lit("("), F.substring(t, 2, 1 << 20))
+    name = lambda t: F.substr(t, F.lit(2))
+    opened = lambda t: F.concat(F.lit("("), name(t))
     return F.flatten(F.transform(tags, lambda t: F.when(
         t.startswith("</"), F.array(F.lit(")"))).when(
-        F.substring(t, 2, 1 << 20).isin(*VOID_TAGS), F.array(opened(t), F.lit(")"))).otherwise(F.array(opened(t)))))
+        name(t).isin(*VOID_TAGS), F.array(opened(t), F.lit(")"))).otherwise(F.array(opened(t)))))
 
 
 def tree_templates(df: DataFrame, keys: list[str], marks: Column, depth: int = 4) -> DataFrame:

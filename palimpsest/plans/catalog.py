@@ -74,7 +74,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_embpair": ((), """
         SELECT a.vec_id, a.label, a.embedding AS e1, b.embedding AS e2
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""),
-    "v_logits": ((), "SELECT vec_id, label, embedding[1:3] AS logits FROM embeddings"),
+    "v_logits": ((), "SELECT vec_id, label, embedding AS logits FROM embeddings"),
     "v_log": ((), """
         SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
                value AS val_loss

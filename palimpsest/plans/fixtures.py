@@ -107,7 +107,7 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 3).alias("logits"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("logits"))
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def mean_pool(spark, sf):
 
 
 @query("softmax_positive", using("v_logits", """
-    SELECT vec_id, round(exp(logits[2]::DOUBLE) / (exp(logits[1]::DOUBLE) + exp(logits[2]::DOUBLE) + exp(logits[3]::DOUBLE)), 6)
+    SELECT vec_id, round(exp(logits[2]::DOUBLE) / list_sum(list_transform(logits, lambda x: exp(x::DOUBLE))), 6)
       AS probability FROM v_logits"""))
 def softmax_positive(spark, sf):
     return rounded(fx.logits(spark, sf).select("vec_id", sim.softmax_positive(F.col("logits")).alias("probability")), "probability")
@@ -202,7 +202,7 @@ def softmax_positive(spark, sf):
 
 # corpus-based scores -------------------------------------------------------------------------
 
-def cosine_tables(source: str, keys: str) -> dict[str, str]:
+def cosine_tables(source: str, keys: str, corpus: str | None = None) -> dict[str, str]:
     on = " AND ".join(f"s.{k.strip()} = t.{k.strip()}" for k in keys.split(","))
     mine = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
     return {
@@ -210,7 +210,10 @@ def cosine_tables(source: str, keys: str) -> dict[str, str]:
             SELECT {keys}, 'a' AS side, unnest({s_tokens('text')}) AS term FROM {source}
             UNION ALL SELECT {keys}, 'b', unnest({s_tokens('adv_text')}) FROM {source}) GROUP BY ALL""",
         "weights": f"""SELECT {keys}, side, term, tf * (ln((1 + 2 * (SELECT count(*) FROM {source}))
-              / (1.0E0 + count(*) OVER (PARTITION BY term))) + 1) AS w FROM side_terms""",
+              / (1.0E0 + count(*) OVER (PARTITION BY term))) + 1) AS w FROM side_terms""" if corpus is None else f"""
+            SELECT side_terms.*, tf * (ln((1 + (SELECT count(*) FROM {corpus})) / (1.0E0 + coalesce(df, 0))) + 1) AS w
+            FROM side_terms LEFT JOIN (SELECT term, count(*) AS df FROM (
+              SELECT unnest(list_distinct({s_tokens('text')})) AS term FROM {corpus}) c GROUP BY term) f USING (term)""",
         "norms": f"SELECT {keys}, sqrt(sum(w * w) FILTER (side = 'a')) AS na, sqrt(sum(w * w) FILTER (side = 'b')) AS nb FROM weights GROUP BY ALL",
         "shared": f"""SELECT {mine}, sum(s.w * t.w) AS dot FROM weights s JOIN weights t ON {on} AND s.term = t.term
             AND s.side = 'a' AND t.side = 'b' GROUP BY ALL""",
@@ -226,15 +229,15 @@ def tfidf_cosine(spark, sf):
     return rounded(found, "tfidf_cosine")
 
 
-def perplexity_tables(source: str, keys: str) -> dict[str, str]:
-    def bigrams(text: str) -> str:
-        return f"""SELECT {keys}, t[i] AS w1, t[i + 1] AS w2 FROM (SELECT {keys}, {s_tokens(text)} AS t FROM {source}) q,
+def perplexity_tables(source: str, keys: str, corpus: str | None = None, corpus_keys: str = "") -> dict[str, str]:
+    def bigrams(text: str, table: str = source, keys: str = keys) -> str:
+        return f"""SELECT {keys}, t[i] AS w1, t[i + 1] AS w2 FROM (SELECT {keys}, {s_tokens(text)} AS t FROM {table}) q,
             generate_series(1, len(t) - 1) g(i)"""
     return {
-        "learnt": bigrams("text"), "scored": bigrams("adv_text"),
+        "learnt": bigrams("text", corpus or source, corpus_keys or keys), "scored": bigrams("adv_text"),
         "pair_counts": "SELECT w1, w2, count(*) AS c12 FROM learnt GROUP BY ALL",
         "start_counts": "SELECT w1, count(*) AS c1 FROM learnt GROUP BY ALL",
-        "vocabulary": f"SELECT count(DISTINCT w) AS v FROM (SELECT unnest({s_tokens('text')}) AS w FROM {source})",
+        "vocabulary": f"SELECT count(DISTINCT w) AS v FROM (SELECT unnest({s_tokens('text')}) AS w FROM {corpus or source})",
         "surprise": f"""SELECT {keys}, exp(-avg(ln((coalesce(c12, 0) + 0.1E0) / (coalesce(c1, 0) + 0.1E0 * v)))) AS perplexity
             FROM scored s LEFT JOIN pair_counts p ON s.w1 = p.w1 AND s.w2 = p.w2 LEFT JOIN start_counts u ON s.w1 = u.w1
             CROSS JOIN vocabulary GROUP BY {keys}""",
@@ -345,14 +348,14 @@ def knob_pairs(spark, sf):
     """Pairs under two systems: the answers, and the built-in rewriter with two knobs."""
     rewritten = tx.disfluency_rewrite(F.col("text"))
     runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("temperature"), c.alias("adv_text")) for m, t, c in (
-        ("answers", "t0", F.col("adv_text")), ("rewriter", "t0", rewritten), ("rewriter", "t1", tx.truncate_words(rewritten, 20)))])
+        ("answers", "t0", F.col("adv_text")), ("rewriter", "t0", rewritten), ("rewriter", "t1", F.lower(rewritten)))])
     return fx.pairs_null(spark, sf).select(*KEYS, "text", "label", F.inline(runs))
 
 
 _RUNS = f"""SELECT doc_id, sent_id, text, label, 'answers' AS model, 't0' AS temperature, adv_text FROM v_pair_null
     UNION ALL SELECT p.doc_id, p.sent_id, p.text, p.label, 'rewriter', 't0', r.rewritten FROM v_pair_null p JOIN rewritten r
       ON p.doc_id = r.doc_id AND p.sent_id = r.sent_id
-    UNION ALL SELECT p.doc_id, p.sent_id, p.text, p.label, 'rewriter', 't1', array_to_string({s_words('r.rewritten')}[1:20], ' ')
+    UNION ALL SELECT p.doc_id, p.sent_id, p.text, p.label, 'rewriter', 't1', lower(r.rewritten)
       FROM v_pair_null p JOIN rewritten r ON p.doc_id = r.doc_id AND p.sent_id = r.sent_id"""
 _READY = """SELECT doc_id, sent_id, text, label, model, temperature, coalesce(adv_text, '') AS adv_text FROM runs
     WHERE text IS NOT NULL AND len(string_split(text, ' ')) > 3"""
@@ -370,8 +373,9 @@ _SCORED = f"""SELECT q.*, e.substitutions / nullif(e.ref_words, 0)::DOUBLE AS SU
       '{m}' AS metric, round(avg({m}), 4) AS value, round(stddev_pop({m}), 4) AS std
     FROM scores GROUP BY GROUPING SETS ((model, temperature), (model, temperature, label))""" for m in DEFAULT_METRICS),
     recursive=True, rewritten=rewrite_sql("v_pair_null", "doc_id, sent_id"), runs=_RUNS, ready=_READY,
-    **edit_tables("ready", _RUN_KEYS), **overlap_tables("ready", _RUN_KEYS), **cosine_tables("ready", _RUN_KEYS),
-    **perplexity_tables("ready", _RUN_KEYS), scores=_SCORED))
+    sources="SELECT DISTINCT doc_id, sent_id, text FROM ready",
+    **edit_tables("ready", _RUN_KEYS), **overlap_tables("ready", _RUN_KEYS), **cosine_tables("ready", _RUN_KEYS, "sources"),
+    **perplexity_tables("ready", _RUN_KEYS, "sources", "doc_id, sent_id"), scores=_SCORED))
 def quality(spark, sf):
     report = quality_report(knob_pairs(spark, sf), ["model", "temperature", *KEYS], ["model", "temperature"])
     return rounded(report, "value", "std", places=4)

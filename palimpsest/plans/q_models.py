@@ -65,7 +65,7 @@ def _knobs(docs):
     """Each document under the built-in rewriter with two knobs."""
     rewritten = tx.disfluency_rewrite(F.col("text"))
     runs = F.array(*[F.struct(F.lit("rewriter").alias("system"), F.lit(t).alias("temperature"), c.alias("adv_text"))
-                     for t, c in (("t0", rewritten), ("t1", tx.truncate_words(rewritten, 60)))])
+                     for t, c in (("t0", rewritten), ("t1", F.lower(rewritten)))])
     return docs.select("*", F.inline(runs))
 
 

@@ -29,6 +29,6 @@ def upsert_as_it_arrives(spark, sf):
     old, new = fx.results(spark, sf), _changed(spark, sf)
     schema = old.select(*_RESULT_KEYS, "value", "version").schema
     for part in (new, old):   # the older rows come last and must not win
-        part.select(*_RESULT_KEYS, "value", "version").coalesce(1).write.mode("append").parquet(source)
+        part.select(*_RESULT_KEYS, "value", "version").write.mode("append").parquet(source)
         upsert_stream(spark, source, schema, table, progress, _RESULT_KEYS)
     return current(spark, table, schema, _RESULT_KEYS).withColumn("value", F.round("value", 6))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import similarity as sim
 from palimpsest.functions import text as tx
 from palimpsest.operators import vocabulary as voc
+from palimpsest.operators.documents import assemble_docs
 from palimpsest.operators.metrics import metric_by_class
 from palimpsest.workspace import stored
 
@@ -20,10 +21,12 @@ ROW_METRICS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
     "sentence_length": lambda text, rewrite, a, b: tx.mean_sentence_length(rewrite),
     "syllables": lambda text, rewrite, a, b: tx.mean_syllables(rewrite),
 }
-TABLE_METRICS: dict[str, Callable[[DataFrame, list[str], str, str], DataFrame]] = {
-    "semantics": lambda df, keys, a, b: voc.tfidf_cosine(
-        df, keys, tx.tokens(F.col(a)), tx.tokens(F.col(b))).withColumnRenamed("tfidf_cosine", "semantics"),
-    "perplexity": lambda df, keys, a, b: voc.perplexity(df, tx.tokens(F.col(a)), df, keys, tx.tokens(F.col(b))),
+# over pairs and over the table of distinct sources, which the counts come from: a run's scores do not
+# depend on what other runs are measured along with it
+TABLE_METRICS: dict[str, Callable[[DataFrame, list[str], str, str, DataFrame], DataFrame]] = {
+    "semantics": lambda df, keys, a, b, sources: voc.tfidf_cosine(
+        df, keys, tx.tokens(F.col(a)), tx.tokens(F.col(b)), sources, tx.tokens(F.col(a))).withColumnRenamed("tfidf_cosine", "semantics"),
+    "perplexity": lambda df, keys, a, b, sources: voc.perplexity(sources, tx.tokens(F.col(a)), df, keys, tx.tokens(F.col(b))),
 }
 EDIT_METRICS = ("SUB", "ADD", "DEL")
 DEFAULT_METRICS = [*EDIT_METRICS, "lexical_overlap", "token_jaccard", "sentence_length", "syllables", "semantics", "perplexity"]
@@ -35,9 +38,18 @@ def ready_pairs(df: DataFrame, text: str = "text", rewrite: str = "adv_text") ->
             .where(tx.has_min_fields(F.col(text))))
 
 
-def row_scores(df: DataFrame, keys: list[str], metrics: list[str], text: str = "text", rewrite: str = "adv_text") -> DataFrame:
+def paired_documents(df: DataFrame, run: list[str], text: str = "text", rewrite: str = "adv_text", label: str = "label") -> DataFrame:
+    """Sentence pairs of each run joined to document pairs (run…, doc_id, label, text, rewrite) by full stops."""
+    ready, keys = ready_pairs(df, text, rewrite), [*run, "doc_id", label]
+    sides = [assemble_docs(ready, keys, "sent_id", c, ".").select(*keys, F.col(c)) for c in (text, rewrite)]
+    return sides[0].join(sides[1], keys)
+
+
+def row_scores(df: DataFrame, keys: list[str], metrics: list[str], text: str = "text", rewrite: str = "adv_text",
+               sources: DataFrame | None = None) -> DataFrame:
     """One row per key with one column per metric. Per-row metrics cost no shuffle; the metrics
-    that need corpus counts are computed as tables and joined by key."""
+    that need corpus counts are computed as tables and joined by key. ``sources``: one row per source text (by default
+    every row is one)."""
     a, b = F.col(text), F.col(rewrite)
     per_row = df
     if set(metrics) & set(EDIT_METRICS):
@@ -51,7 +63,7 @@ def row_scores(df: DataFrame, keys: list[str], metrics: list[str], text: str = "
     out = per_row.select(*[c for c in per_row.columns if c not in (text, rewrite, "_ops", "_a", "_b")], *own)
     for m in metrics:
         if m in TABLE_METRICS:
-            out = out.join(TABLE_METRICS[m](df, keys, text, rewrite), keys, "left")
+            out = out.join(TABLE_METRICS[m](df, keys, text, rewrite, df if sources is None else sources), keys, "left")
     unknown = set(metrics) - set(out.columns)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
@@ -69,5 +81,7 @@ def quality_report(df: DataFrame, keys: list[str], by: list[str], metrics: list[
     ready = ready_pairs(df, text, rewrite).select(*dict.fromkeys([*keys, *by, label, text, rewrite]))
     if set(metrics) & set(TABLE_METRICS):
         ready = stored(ready, "pairs")
-    scores = row_scores(ready, keys, metrics, text, rewrite)
+    of_source = [k for k in keys if k not in by]
+    sources = ready.select(*of_source, text).dropDuplicates(of_source) if of_source else ready
+    scores = row_scores(ready, keys, metrics, text, rewrite, sources)
     return metric_by_class(scores, metrics, by, label)

@@ -86,14 +86,14 @@ def import_legacy(spark: SparkSession, path: str, system: str, kind: str = "pair
 def snapshot_raw(spark: SparkSession, raw_path: str, clean_path: str, clean, incoming: DataFrame | None = None) -> DataFrame:
     """Keep the raw table as it first came, and write ``clean(raw)`` over the clean table.
 
-    ``incoming`` is stored only if no raw table is there yet; cleaning always starts from the raw
-    table, so a second run changes nothing.
+    ``incoming`` is stored only if no complete raw table is there yet (one whose write was committed); cleaning always
+    starts from the raw table, so a second run changes nothing.
     """
-    files = spark._jvm.org.apache.hadoop.fs.Path(raw_path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{raw_path}/_SUCCESS")
     there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
     if not there:
         if incoming is None:
             raise FileNotFoundError(raw_path)
-        incoming.write.parquet(raw_path)
+        incoming.write.mode("overwrite").parquet(raw_path)   # also over what a failed write has left
     clean(spark.read.parquet(raw_path)).write.mode("overwrite").parquet(clean_path)
     return spark.read.parquet(clean_path)
