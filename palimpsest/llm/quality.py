@@ -34,7 +34,7 @@ from palimpsest.workspace import stored
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats"]
-FLOORS = (0.35, 0.25, 0.15, 0.15, 0.15)
+FLOORS = (0.35, 0.25, 0.15, 0.3, 0.15)
 SHARE, LEAST, ALPHA, STEPS = 0.75, 60, 1e-9, 4
 SCALE = 32  # steps of the distance scale to each doubling
 
