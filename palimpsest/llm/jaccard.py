@@ -13,7 +13,7 @@ Classes. Documents with equal sets are one class (hash of the sorted set); tasks
 Candidates. Postings of the order-A prefixes are dealt by shingle and kept where two classes meet. Instead of all pairs of a
 list, each class is paired with the first class of one of its lists, if sizes and places in the order allow it. A pair then must share an order-B prefix shingle
 (``arrays_overlap``), and the rest is verified on whole sets. Verified links make components; a list inside one component
-is finished, so a group of near copies costs pairs in proportion to its size. A second round pairs classes with one of another component
+is finished, so a group of near copies costs pairs in proportion to its size. Two more rounds pair classes with one of another component
 of an open list; what is left, pairs of different components in one list, is enumerated whole, by halves of the components' ranks, so
 no pair inside a component is ever formed. Every linked pair is therefore verified or already connected.
 
@@ -241,26 +241,25 @@ def _fits(n: str, at: str, m: str, mat: str, percent: int):
     return F.least(F.col(n) - F.col(at), F.col(m) - F.col(mat)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
 
 
-def _best(pairs: DataFrame, asked: DataFrame | None) -> DataFrame:
-    """(class, other, weight) to (a, b): of each class's candidates that were not asked yet, the one with most weight. Short lists
-    weigh more: what few share tells most."""
-    summed = pairs.groupBy("class", "other").agg(F.sum("weight").alias("weight")).withColumns({"a": F.greatest("class", "other"), "b": F.least("class", "other")})
-    summed = summed if asked is None else summed.join(_small(asked), ["a", "b"], "left_anti")
-    best = summed.groupBy("class").agg(F.max(F.struct("weight", "a", "b")).alias("x"))
-    return best.select("x.a", "x.b").distinct()
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).distinct()
 
 
-def first_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> DataFrame:
-    """Each class with one of the first classes of its lists."""
+def first_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each class with one of the first classes of its lists, the one with most weight. Short lists weigh more: what few share
+    tells most."""
     met = lists.filter("class <> centre").filter(_fits("n", "at", "m", "mat", percent))
-    return _best(met.select("class", F.col("centre").alias("other"), (1.0 / F.col("size")).alias("weight")), asked)
+    summed = met.groupBy("class", F.col("centre").alias("other")).agg(F.sum(1.0 / F.col("size")).alias("weight"))
+    return _named(summed.groupBy("class").agg(F.max(F.struct("weight", "other")).alias("x")).select("class", F.col("x.other").alias("other")))
 
 
-def star_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> DataFrame:
-    """Lists (token, class, n, at, comp): each class with one class of another component."""
-    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("comp", "class", "n", "at")).alias("c"), F.count("*").alias("size"))
+def star_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Lists (token, class, n, at, comp): each class with one class of another component, from its shortest list. Each turn
+    has another member of every list in its middle."""
+    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "comp", "class", "n", "at")).alias("c"), F.count("*").alias("size"))
     both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp")).withColumns({"m": F.col("c.n"), "mat": F.col("c.at")})
-    return _best(both.filter(_fits("n", "at", "m", "mat", percent)).select("class", F.col("c.class").alias("other"), (1.0 / F.col("size")).alias("weight")), asked)
+    best = both.filter(_fits("n", "at", "m", "mat", percent)).groupBy("class").agg(F.min(F.struct("size", F.col("c.class").alias("other"))).alias("x"))
+    return _named(best.select("class", F.col("x.other").alias("other")))
 
 
 def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -271,8 +270,8 @@ def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.join(_small(stored(several, "open-tokens")), F.col("token") == F.col("t"), "left_semi"), "open-lists")
 
 
-def crossing_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> DataFrame:
-    """All pairs of a list's members that lie in different components and fit, but for those asked."""
+def crossing_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """All pairs of a list's members that lie in different components and fit."""
     from pyspark.sql import Window
 
     ranks = lists.select("token", "comp").distinct().withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("comp")) - 1)
@@ -284,8 +283,7 @@ def crossing_pairs(lists: DataFrame, percent: int, asked: DataFrame | None) -> D
     left = side.filter("half = 0").select("token", "bit", "run", F.col("class").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"))
     right = side.filter("half = 1").select("token", "bit", "run", F.col("class").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"))
     met = left.join(right, ["token", "bit", "run"]).filter(_fits("xn", "xat", "yn", "yat", percent))
-    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    return pairs if asked is None else pairs.join(_small(asked), ["a", "b"], "left_anti")
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -343,10 +341,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     lists = stored(meeting(postings(docs, table, width, percent), percent), "shared-shingles")
     namesakes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
 
-    links = sets = asked = None
-    for make in (first_pairs, star_pairs, crossing_pairs):
+    links = sets = None
+    for turn, make in enumerate((first_pairs, star_pairs, star_pairs, crossing_pairs)):
         lists = lists if links is None else open_lists(lists, links)
-        pairs = stored(make(lists, percent, asked), "pairs")
+        pairs = stored(make(lists, percent, turn), "pairs")
         ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if sets is not None:
             ends = ends.join(_small(sets.select("class")), "class", "left_anti")
@@ -355,7 +353,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         sets = more if sets is None else sets.unionByName(more)
         new = stored(verified(pairs, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
-        asked = pairs if asked is None else asked.unionByName(pairs)
 
     comps = components(links).select(F.col("node").alias("class"), "component")
     grouped = namesakes.join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
