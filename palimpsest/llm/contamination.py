@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Index. Documents are cut into segments of about ``BLOCK`` bytes of text. A segment holds, for each of its terms, the sorted
+Index. Documents are gathered in segments of about ``SEGMENT`` bytes of text. A segment holds, for each of its terms, the sorted
 list of word positions, and for each document the position of its first word; all segments together hold the postings of
 every word of every document. Segments are rows of one Parquet table, so tasks read and match them alone.
 
@@ -35,6 +35,7 @@ from palimpsest.llm.tokens import ALNUM, Block, binary, blocks
 from palimpsest.workspace import stored
 
 WIDTH, QUERY_WORDS, CHUNK = 13, 1_000_000, 1_000_000
+SEGMENT = 1 << 18  # bytes of text; small rows keep buffers small on their way through the JVM
 
 
 # --- index ----------------------------------------------------------------------------------------------------
@@ -43,7 +44,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """One row per segment: segment, doc_ids, firsts, terms, offsets, positions (little-endian arrays)."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for rows, block in blocks(batches):
+        for rows, block in blocks(batches, most=SEGMENT):
             _, _, h, first = block.words(ALNUM)
             codes, terms = pd.factorize(h)
             rank = np.argsort(terms)
