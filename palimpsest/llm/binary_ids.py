@@ -32,8 +32,8 @@ from palimpsest.llm.tokens import blocks
 from palimpsest.workspace import fresh_path, stored
 
 MAGIC = b"PIDS1\0\0\0"
-FRAME_IDS = 4_000_000
-FRAMES_A_FILE = 4
+FRAME_IDS = 1_000_000
+FRAMES_A_FILE = 16
 
 # of each control byte: the four lengths, and their sum
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
