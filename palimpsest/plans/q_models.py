@@ -101,6 +101,16 @@ def batch_generate(spark, sf):
     return md.batch_generate(pairs, "text", "adv_text", drop_fillers).select("doc_id", "sent_id", "text", "label", "adv_text")
 
 
+# The texts as they are. RE2's \b knows ASCII letters only, so the oracle names the characters of a word as classes; a run of
+# fillers is one match there, because a match takes the character in front of it along.
+@query("batch_generate_whole", using("v_pair", r"""
+    SELECT doc_id, sent_id, text, label,
+           regexp_replace(text, '(^|[^\p{L}\p{N}_])((the|an?) )+', '\1', 'gi') AS adv_text FROM v_pair"""))
+def batch_generate_whole(spark, sf):
+    pairs = fx.pairs(spark, sf).select("doc_id", "sent_id", "label", "text")
+    return md.batch_generate(pairs, "text", "adv_text", drop_fillers).select("doc_id", "sent_id", "text", "label", "adv_text")
+
+
 @query("training_pairs", using("v_pair_null", f"""
     SELECT doc_id, sent_id, array_to_string({s_words('text')}[1:100], ' ') AS source,
            array_to_string({s_words("coalesce(adv_text, '')")}[1:100], ' ') AS target, CAST(label AS DOUBLE) AS label

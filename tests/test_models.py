@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
@@ -11,6 +12,7 @@ import __spark_entry__ as entry
 from palimpsest.plans import models as md
 from palimpsest.schema import RESULT_KEYS
 from palimpsest.workspace import fresh_path
+from tests.compare import differences
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +61,17 @@ def test_batch_generate_keeps_rows_and_keys(spark):
     assert md.batch_generate(spark.createDataFrame([("I, I see",)], "text string")).first().adv_text == "I see"
 
 
+def test_batch_generate_reads_whole_texts(spark, tmp_path):
+    texts = ["\u00e9an autre the the caf\u00e9", "The stra\u00dfe an \u00fcber", "l'a the\u0301 na\u00efve a", "\u00fca b \u00e4the c _a d 1a e"]
+    rows = [(i, t, role, text) for i, text in enumerate(texts) for t, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = entry.queries()["batch_generate_whole"](spark, str(tmp_path))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(texts))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert differences(got, con, entry.oracle_sql()["batch_generate_whole"]) == []
+
+
 def test_training_pairs(spark):
     rows = spark.createDataFrame([(1, " a  b c", None, 1), (2, None, "x", 0)], "k long, t string, a string, l int")
     got = md.training_pairs(rows, ["k"], "t", "a", "l", n=2).collect()
