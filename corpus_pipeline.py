@@ -1,6 +1,6 @@
 """From raw documents to token files: the stages in order, each written as Parquet and read again by the next.
 
-1. language: drop documents without a letter (or a language for most of their words).
+1. language: drop documents without a language (no text, no letter or no model); a text in several languages stays.
 2. near duplicates: of each group of documents linked by similar word shingles, the one with the smallest id stays.
 3. contamination: drop documents of whose words a twentieth or more are hit by benchmark windows.
 4. mixing: documents as often as the target weights of their sources ask; the last one of a source may be cut.
@@ -25,8 +25,6 @@ from palimpsest.workspace import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Least share of a document's words in its language.
-LEAST_SHARE = 0.5
 SMALL = 500_000
 _KEY = "_document"
 
@@ -53,7 +51,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
     found = language.label(_named(rows), language.train(_named(rows)))
-    rejected = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE))
+    rejected = found.filter(F.col("lang_pred") == language.UNKNOWN)
     return _without(rows, rejected).select(docs.columns)
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from palimpsest.llm import language
 from palimpsest.workspace import stored
 from tests.llm.test_contamination import brute as hit_words
 from tests.llm.test_jaccard import brute as linked
@@ -88,3 +89,14 @@ def test_defined_cases(spark, name, stage):
     if name != "token_ids":
         assert all(len(r) == 7 for r in rows)
     assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_a_clean_text_in_three_languages_stays(spark):
+    words = {"en": "the cat and dog went over to that house", "de": "der Hund und die Katze gingen über das Haus", "fr": "le chat et les chiens vont dans cette maison"}
+    rows = [(10 * i + k, f"{text} " * 4, lang, "a", 0, 1, "k") for k, (lang, text) in enumerate(words.items()) for i in range(1, 40)]
+    rows += [(1000, " ".join(f"{text} " * 3 for text in words.values()), "en", "a", 0, 1, "k"), (1001, "12 34 -- 56", "en", "a", 0, 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, version int, kind string")
+    found = {r.doc_id: r for r in language.label(docs, language.train(docs)).collect()}
+    assert found[1000].score < 0.5 and {s.lang for s in found[1000].spans} == set(words)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {1001}
