@@ -14,6 +14,7 @@ from palimpsest.functions import text as tx
 from palimpsest.plans import fixtures as fx
 from palimpsest.plans import models as md
 from palimpsest.plans.catalog import query, s_words, using
+from palimpsest.plans.quality import DEFAULT_METRICS
 from palimpsest.plans.systems import evaluate_systems
 from palimpsest.workspace import fresh_path
 
@@ -79,11 +80,15 @@ def static_adversary(spark, sf):
 
 @query("adaptive_adversary")
 def adaptive_adversary(spark, sf):
-    train = _split(spark, sf, "train")
-    learnt = _knobs(train).where("temperature = 't0'").select("doc_id", "label", F.col("adv_text").alias("text"))
-    scored = _knobs(_split(spark, sf, "test")).where("temperature = 't0'").select(
-        "doc_id", "label", F.col("adv_text").alias("text"), "system", "temperature")
-    return md.adaptive_adversary(train, learnt, scored, ["system", "temperature"], ["SVM"])
+    train, out = _split(spark, sf, "train"), None
+    learnt, scored = (_knobs(docs).select("doc_id", "label", F.col("adv_text").alias("text"), "system", "temperature")
+                      for docs in (train, _split(spark, sf, "test")))
+    for knob in ("t0", "t1"):   # each knob has its own training set
+        mine = F.col("temperature") == knob
+        rows = md.adaptive_adversary(train, learnt.where(mine).select("doc_id", "label", "text"), scored.where(mine),
+                                     ["system", "temperature"], list(md.CLASSIFIERS))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def drop_fillers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -156,8 +161,8 @@ def _sentence_knobs(sentences):
 
 def _evaluation(spark, sf, level):
     train, test = _sentences(spark, sf, "train"), _sentences(spark, sf, "test")
-    return evaluate_systems(train, test, _sentence_knobs(train), _sentence_knobs(test), ["SVM"],
-                            ["token_jaccard", "sentence_length", "syllables"], "documents", level)
+    return evaluate_systems(train, test, _sentence_knobs(train), _sentence_knobs(test), list(md.CLASSIFIERS),
+                            DEFAULT_METRICS, "documents", level)
 
 
 @query("evaluate_systems")

@@ -6,10 +6,13 @@ import duckdb
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from palimpsest.plans import models as md
+from palimpsest.plans import q_models
+from palimpsest.plans.quality import DEFAULT_METRICS
 from palimpsest.schema import RESULT_KEYS
 from palimpsest.workspace import fresh_path
 from tests.compare import differences
@@ -91,3 +94,25 @@ def test_knobs_are_scored_on_the_same_documents(spark):
     rows = entry.queries()["static_adversary"](spark, SF).collect()
     assert {(r.model, r.temperature) for r in rows} == {("Original", "None"), ("rewriter", "t0"), ("rewriter", "t1")}
     assert all(-1 <= r.value <= 1 for r in rows) and {r.metric for r in rows} == set(md._METRIC_NAMES.values())
+
+
+FAST = {   # the same names, few steps
+    "SVM": lambda feature, rows: LinearSVC(maxIter=1), "RF": lambda feature, rows: RandomForestClassifier(numTrees=1, maxDepth=1, seed=1),
+    "LR": lambda feature, rows: LogisticRegression(maxIter=1)}
+
+
+def test_adaptive_adversary_covers_every_knob_and_classifier(spark, monkeypatch):
+    assert FAST.keys() == md.CLASSIFIERS.keys()
+    monkeypatch.setattr(md, "CLASSIFIERS", FAST)
+    rows = entry.queries()["adaptive_adversary"](spark, SF).collect()
+    want = {("rewriter", t, f"ADA_{c}", m) for t in ("t0", "t1") for c in FAST for m in md._METRIC_NAMES.values()}
+    assert sorted((r.system, r.temperature, r.classifier, r.metric) for r in rows) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["evaluate_systems", "evaluate_systems_doc"])
+def test_evaluation_runs_every_classifier_and_metric(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(q_models, "evaluate_systems", lambda *args: seen.append(args))
+    entry.queries()[name](spark, SF)
+    assert seen[0][4] == list(md.CLASSIFIERS) and seen[0][5] == DEFAULT_METRICS
+    assert seen[0][7] == ("doc" if name.endswith("doc") else "sent")
