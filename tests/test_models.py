@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -116,3 +117,16 @@ def test_evaluation_runs_every_classifier_and_metric(spark, monkeypatch, name):
     entry.queries()[name](spark, SF)
     assert seen[0][4] == list(md.CLASSIFIERS) and seen[0][5] == DEFAULT_METRICS
     assert seen[0][7] == ("doc" if name.endswith("doc") else "sent")
+
+
+@pytest.mark.parametrize("name,before", [("RF", 1 << 12)])
+def test_a_term_that_decides_keeps_a_slot_of_its_own_among_a_million(spark, name, before):
+    at, now = HashingTF(inputCol="w", outputCol="v", numFeatures=1 << 20).indexOf, md.TERM_SLOTS[name]
+    mine = at("decisive")   # slots of fewer bits are its last bits; hash() gives the same for whole groups of four bytes
+    slot = F.pmod(F.hash("term"), F.lit(1 << 20))
+    other = spark.range(1_000_000).select(F.format_string("term%08d", "id").alias("term")).where(
+        (slot % before == mine % before) & (slot % now != mine % now)).first().term
+    assert at(other) % before == mine % before
+    rows = [(i, f"{'decisive' if i % 2 else other} word{i % 7}", i % 2) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert md.predict(md.fit_classifier(texts, name), texts).where("pred <> label").count() == 0
