@@ -137,14 +137,14 @@ def scores(w: Words, model: Model) -> np.ndarray:
 
 def viterbi(s: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best language of every word; text i has words first[i] to first[i + 1]. Ties keep the language, then take the first."""
-    label = np.zeros(len(s), np.int8)
+    label = np.zeros(len(s), np.int32)
     n = np.diff(first)
     rows = np.flatnonzero(n)
     if not len(rows):
         return label
     total = np.add.reduceat(s, first[:-1][rows], axis=0)
     best = total.argmax(axis=1)
-    label[:] = np.repeat(best, n[rows]).astype(np.int8)
+    label[:] = np.repeat(best, n[rows]).astype(np.int32)
     if s.shape[1] == 1:
         return label
     own = np.take_along_axis(s, label[:, None].astype(np.int64), 1)[:, 0]
@@ -171,7 +171,7 @@ def viterbi(s: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.nd
         jump = v[np.arange(live), top] - penalty
         stay = v[:live] >= jump[:, None]
         v[:live] = np.where(stay, v[:live], jump[:, None]) + s[at[:live] + t]
-        back.append(np.where(stay, np.arange(k), top[:, None]).astype(np.int8))
+        back.append(np.where(stay, np.arange(k), top[:, None]).astype(np.int32 if k > 127 else np.int8))
     now = v.argmax(axis=1)
     for t in range(int(length[0]) - 1, -1, -1):
         live = int(np.searchsorted(-length, -t, side="left"))
@@ -202,7 +202,7 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
             n, size = block.rows, (w.ends - w.starts)
             text = np.repeat(np.arange(n), np.diff(w.first))
             k = max(len(model.langs), 1)
-            path = viterbi(scores(w, model), w.first, penalty) if model.langs else np.zeros(len(w.starts), np.int8)
+            path = viterbi(scores(w, model), w.first, penalty) if model.langs else np.zeros(len(w.starts), np.int32)
             weight = np.bincount(text * k + path, weights=size, minlength=n * k).reshape(n, k)
             best = weight.argmax(axis=1)
             known = _lettered(rows.column(1), block) & (len(model.langs) > 0)

@@ -69,6 +69,18 @@ def test_labels_spans_and_defined_cases(spark):
     assert {r.doc_id: r.held_out for r in report.collect()}[4] == (zlib.crc32(b"4") % 4 == 2)
 
 
+def test_more_languages_than_a_byte_holds(spark):
+    k = 200
+    s = np.full((6, k), -language.CLIP, float)
+    for word, lang in enumerate([150, 150, 150, 199, 199, 199]):   # one change of language inside a text
+        s[word, lang] = 0.0
+    assert language.viterbi(s, np.array([0, 6]), 1.0).tolist() == [150, 150, 150, 199, 199, 199]
+    rows = [(i * 8 + j, f"{w} " * 30, f"l{i:03d}") for i in range(k) for j in range(8) for w in [f"{chr(97 + i % 26)}{chr(97 + i // 26)}qx{i}zz"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language.label(docs, language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == len(rows) and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(rows)
+
+
 def test_without_training_rows_everything_is_unknown(spark):
     docs = spark.createDataFrame([(1, "some words", None, "s", 0.0)], DOCS)
     assert [(r.lang_pred, r.score) for r in language.language_report(docs).collect()] == [("und", 0.0)]
