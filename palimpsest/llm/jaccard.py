@@ -333,7 +333,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
+    """doc_id, n_shingles, component_id for every row of (doc_id, text).
+
+    Sets are fetched by id; where ids are null, the rows are numbered and stored first, and sets are fetched by number. A
+    component without any id has a null component_id."""
+    if docs.filter("doc_id is null").isEmpty():
+        return _grouped(docs, width, percent)
+    rows = stored(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = stored(_grouped(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent), "numbered-groups")
+    named = rows.select("doc_id", F.col("_row").alias("of")).join(found.withColumnRenamed("doc_id", "_row"), F.col("_row") == F.col("of"))
+    names = named.groupBy(F.col("component_id").alias("component")).agg(F.min("doc_id").alias("least"))
+    return (named.join(_small(names), F.col("component_id") == F.col("component"))
+            .select("doc_id", "n_shingles", F.col("least").alias("component_id")))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     found = stored(survey(docs, width), "shingle-survey")
     members = found.filter("slice is null").select("doc_id", "n", "class")

@@ -87,6 +87,16 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_texts_without_an_id_link_their_neighbours(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda a, b: " ".join(words[a:b])
+    # the first and last are similar to the null-id text between them only, and the fourth is a null-id text near a null-id one
+    rows = [(7, text(0, 44)), (None, text(4, 48)), (3, text(8, 52)), (None, "a b c d e f g h i j k l m n o"), (None, "b c d e f g h i j k l m n o"), (9, "x y z")]
+    assert jaccard.near_duplicates(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).select("component_id").distinct().count() == 2
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(7, 40, 3), (None, 40, 3), (3, 40, 3), (None, 11, None), (None, 10, None), (9, 1, 9)], key=repr)
+
+
 @pytest.mark.parametrize("n", range(1, 120))
 def test_prefix_meets_every_similar_set(n):
     """Two sets at the bound share an item of both prefixes, whatever the order."""
