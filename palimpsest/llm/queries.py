@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binary_ids, contamination, jaccard, language, lm, mixing, private_data, quality, substrings, warc
+from palimpsest.llm import binary_ids, contamination, jaccard, language, lm, mixing, private_data, quality, substrings, vector_codes, warc
 from palimpsest.llm.tables import lean
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +59,39 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op3_substring_dedup, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compression_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op3_substring_dedup, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules, op11_vector_codes)}
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Plain search: all distances to all entries, in doubles that hold whole numbers exactly."""
+    steps = [r"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        d AS (SELECT max(len(v)) // 4 AS w FROM kept),
+        p AS MATERIALIZED (SELECT vec_id, part, v[part * w + 1 : (part + 1) * w] AS x FROM kept, d, range(4) t(part)),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+          WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, min(x) AS x, min({{'d': d, 'entry': entry}}) AS best FROM (
+          SELECT vec_id, p.part, entry, x, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d
+          FROM p JOIN b{k} b ON b.part = p.part) GROUP BY vec_id, part)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, entry, list(floor(s / n) ORDER BY i) AS c FROM (
+          SELECT part, best.entry AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, d, range(1, 1 + w) t(i) GROUP BY ALL) GROUP BY part, entry),
+        b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""WITH {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(s, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM (
+          SELECT part, entry, array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',') AS s FROM b{rounds})),
+        e AS (SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT e.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM e JOIN kept ON kept.vec_id = e.vec_id, h"""
+
+
 ORACLES: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -93,4 +122,5 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY block, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
         SELECT doc_id, size, s AS source_size, target,
           CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM c""",
+    "op11_vector_codes": _vector_codes_sql(),
 }
