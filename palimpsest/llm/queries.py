@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binary_ids, contamination, jaccard, language, lm, mixing, private_data, quality, substrings, vector_codes, warc
+from palimpsest.llm import binary_ids, contamination, jaccard, language, line_index, lm, mixing, private_data, quality, substrings, vector_codes, warc
 from palimpsest.llm.tables import lean
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compression_report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op3_substring_dedup, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules, op11_vector_codes)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_index.line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op3_substring_dedup, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules, op11_vector_codes, op12_line_dedup)}
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -123,4 +127,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, s AS source_size, target,
           CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM c""",
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_line_dedup": r"""
+        WITH l AS (SELECT doc_id, i, list_extract(string_split(coalesce(text, ''), chr(10)), i) AS line
+              FROM documents, range(1, 1 + len(string_split(coalesce(text, ''), chr(10)))) t(i)),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        s AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (keeper <> doc_id)::BIGINT AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+        FROM k LEFT JOIN s ON s.key = k.key GROUP BY doc_id""",
 }
