@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binary_ids, contamination, jaccard, language, line_index, lm, mixing, private_data, quality, substrings, vector_codes, warc
+from palimpsest.llm import binary_ids, collocations, contamination, jaccard, language, line_index, lm, mixing, private_data, quality, substrings, vector_codes, warc
 from palimpsest.llm.tables import lean
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +67,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_index.line_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op3_substring_dedup, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules, op11_vector_codes, op12_line_dedup)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_ngram_jaccard, op2_decontamination, op3_substring_dedup, op4_warc, op5_language_id, op6_token_ids, op7_private_data, op8_lm_scores, op9_mix_sources, op10_quality_rules, op11_vector_codes, op12_line_dedup, op13_collocations)}
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -136,4 +140,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (keeper <> doc_id)::BIGINT AS n_dropped,
           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
         FROM k LEFT JOIN s ON s.key = k.key GROUP BY doc_id""",
+    "op13_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM w, range(1, 6) a(m), range(1, len(ws) - m + 2) b(i)),
+        f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+        c AS (SELECT lang, m, phrase, f AS a, k, array_to_string(ws[1 : k], ' ') AS lp, array_to_string(ws[k + 1 :], ' ') AS rp FROM f, range(1, 5) t(k) WHERE k < m),
+        s AS (SELECT c.lang, c.m, c.phrase, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+              FROM c JOIN n ON n.lang = c.lang JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp),
+        b AS (SELECT lang, m, phrase, a, n, min({'score': score, 'k': k, 'l': l, 'r': r}) AS best FROM s GROUP BY ALL),
+        o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.m > b.m AND f.f >= b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' '))),
+        q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, best.l::BIGINT AS l, best.r::BIGINT AS r, n::BIGINT AS n, best.score::BIGINT AS score FROM q WHERE rank <= 2000""",
 }
