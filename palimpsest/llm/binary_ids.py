@@ -21,14 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.encoding import Encoder
-from palimpsest.llm.tokens import blocks
+from palimpsest.llm.tokens import blocks, factorize
 from palimpsest.workspace import fresh_path, stored
 
 MAGIC = b"PIDS1\0\0\0"
@@ -66,7 +65,7 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 def frame_bytes(part: int, number: int, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    codes, distinct = pd.factorize(ids)
+    codes, distinct = factorize(ids)
     order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))

@@ -25,16 +25,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import ALNUM, Block, binary, blocks
+from palimpsest.llm.tokens import ALNUM, Block, binary, blocks, factorize
 from palimpsest.workspace import stored
 
-WIDTH, QUERY_WORDS, CHUNK = 13, 1_000_000, 1_000_000
+WIDTH, QUERY_WORDS, CHUNK = 13, 250_000, 100_000  # a block of windows is about 16 MB in a task
 SEGMENT = 1 << 18  # bytes of text; small rows keep buffers small on their way through the JVM
 
 
@@ -46,7 +45,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for rows, block in blocks(batches, most=SEGMENT):
             _, _, h, first = block.words(ALNUM)
-            codes, terms = pd.factorize(h)
+            codes, terms = factorize(h)
             rank = np.argsort(terms)
             place = np.empty(len(rank), np.int64)
             place[rank] = np.arange(len(rank))
@@ -93,7 +92,7 @@ def item_windows(ids: list, texts: list, width: int = WIDTH) -> Windows:
     offset = np.tile(np.arange(width), (len(item), 1))
     at = np.minimum(start[:, None] + offset, max(len(code) - 1, 0))
     term = np.where(offset < length[:, None], code[at] if len(code) else 0, -1)
-    return Windows(["" if i is None else str(i) for i in ids], item, length, terms, term, offset)
+    return Windows(["" if i is None else str(i) for i in ids], item, length, terms, term.astype(np.int32), offset.astype(np.min_scalar_type(width)))
 
 
 def query_blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[Windows]:

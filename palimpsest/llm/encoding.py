@@ -9,16 +9,16 @@ are encoded whole. ``tests/llm`` compares ids with those of whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from palimpsest.llm import tokens
-from palimpsest.llm.tokens import BYTES, Block
+from palimpsest.llm.tokens import BYTES, Block, factorize
 
 #: Pieces a worker remembers at most; then it starts anew. Bounds memory (about 25 bytes each), not results.
 REMEMBERED = 500_000
@@ -44,7 +44,7 @@ class _Known:
 
     def __init__(self):
         self.hash, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(self.hash, h)
@@ -67,6 +67,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.json = Path(path).read_text(encoding="utf-8")
+        self.name = hashlib.sha256(self.json.encode()).hexdigest()
 
     def _library(self):
         def make():
@@ -77,7 +78,7 @@ class Encoder:
 
             t = Tokenizer.from_str(self.json)
             return t, t.token_to_id("<|endoftext|>")
-        return _of_worker(f"tokenizer{len(self.json)}_{pd.util.hash_array(np.array([self.json], object))[0]}", make)
+        return _of_worker(f"tokenizer{self.name}", make)
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, end to end, and their numbers: many texts a call, parted by a special token."""
@@ -98,14 +99,14 @@ class Encoder:
         if not special.any():
             return ids, counts
         library, _ = self._library()
-        whole = [np.array(library.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts.filter(pa.array(special)).to_pylist()]
+        whole = [np.array(library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.filter(pa.array(special)).to_pylist()]
         at = np.cumsum(counts) - counts
         out = np.insert(ids, np.repeat(at[special], [len(w) for w in whole]), np.concatenate(whole))
         counts[special] = [len(w) for w in whole]
         return out, counts
 
     def _plain(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        known = _of_worker(f"known{pd.util.hash_array(np.array([self.json], object))[0]}", _Known)
+        known = _of_worker(f"known{self.name}", _Known)
         if len(known.hash) > REMEMBERED:
             known.__init__()
         kind = _CLASS[block.data]
@@ -113,8 +114,8 @@ class Encoder:
         inner = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0) & (kind[1:] != 4) & (kind[:-1] != 4)) + 1
         inner = np.setdiff1d(inner, block.bounds, assume_unique=True)  # texts are parted already
         starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
-        h = block.hashes(starts, ends, block.prefix_hash(tokens.LOWER[block.data]))
-        codes, distinct = pd.factorize(h)
+        h = block.word_hashes(starts, ends, tokens.LOWER[block.data])
+        codes, distinct = factorize(h)
         where, found = known.find(distinct)
         if not found.all():
             new = np.flatnonzero(~found)
@@ -123,7 +124,7 @@ class Encoder:
             raw = block.data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist())]
             ids, n = self._pieces(texts)
-            known.add(distinct[new], ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, n)
+            known.add(distinct[new], ids.astype(np.uint32), n)
             where, _ = known.find(distinct)
         n = known.n[where][codes].astype(np.int64)
         first = known.at[where][codes]

@@ -32,14 +32,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
 from palimpsest.llm.tables import few
-from palimpsest.llm.tokens import Block, binary, blocks, mix, windows
+from palimpsest.llm.tokens import Block, binary, blocks, factorize, mix, windows
 from palimpsest.workspace import stored
 
 WIDTH, PERCENT = 5, 75
@@ -64,7 +63,7 @@ def shingles(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
             rows.append(some)
             values.append(mix(v ^ np.uint64(0x5851F42D4C957F2D + short)))
     text, value = np.concatenate(rows), np.concatenate(values)
-    codes, _ = pd.factorize(mix(value + text.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    codes, _ = factorize(mix(value + text.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
     once = np.zeros(len(codes), bool)
     if len(codes):
         seen = np.full(codes.max() + 1, -1)

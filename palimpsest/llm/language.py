@@ -73,7 +73,7 @@ def words_of(block: Block) -> Words:
     clean32 = clean.astype(np.uint32)
     key = clean32[:-2] | clean32[1:-1] << np.uint32(8) | clean32[2:] << np.uint32(16)
     trigram = (key * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    h = block.hashes(starts, ends, block.prefix_hash(LOWER[block.data]))
+    h = block.word_hashes(starts, ends, LOWER[block.data])
     script = np.ones(len(starts), np.uint8)
     lead = np.flatnonzero(block.data >= 0xC2)
     if len(lead):

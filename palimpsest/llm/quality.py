@@ -74,7 +74,7 @@ def counts_of(block: tokens.Block) -> dict[str, np.ndarray]:
     ls, le = block.spans(line)
     held = np.searchsorted(starts, ls) < np.searchsorted(starts, le)
     ls, le = ls[held], le[held]
-    lh = block.hashes(ls, le, block.prefix_hash())
+    lh = block.word_hashes(ls, le)
     lr = block.owner(ls)
     codes, _ = pd.factorize(tokens.mix(lh + lr.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
     new = np.zeros(len(codes), bool)

@@ -1,12 +1,14 @@
 """Words of whole texts as numpy arrays.
 
 A block is a run of rows whose texts lie end to end in one byte array. Python sees blocks only, never single
-words: boundaries come from byte classes, hashes from prefix sums. A block holds about ``BLOCK`` bytes, or one
+words: boundaries come from byte classes, hashes from eight bytes at a time. A block holds about ``BLOCK`` bytes, or one
 text if that is longer, so memory follows the longest text and not the partition.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_LONG = 512  # bytes
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class _Powers(dict):
@@ -51,6 +55,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def factorize(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each value, distinct values in order of first occurrence)."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Block:
     """Texts end to end: ``data`` bytes, ``bounds`` the first byte of each text and the end."""
 
@@ -83,10 +102,27 @@ class Block:
         return out
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        """64-bit hash of the bytes of each span: equal bytes, equal hash, wherever they stand."""
+        """64-bit hash of the bytes of each span: equal bytes, equal hash, wherever they stand. For spans of some hundred bytes."""
         h = (prefix[ends] - prefix[starts]) * _powers(len(prefix))[1][starts]
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hash of the bytes of each span, eight at a time through a mixer; long spans by BLAKE2."""
+        data = self.data if data is None else data
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        n = ends - starts
+        h = mix(n.astype(np.uint64) + np.uint64(_BASE))
+        open_, done = np.flatnonzero((n > 0) & (n <= _LONG)), 0
+        while len(open_):
+            left = n[open_] - done
+            part = eight[starts[open_] + done] & _MASKS[np.minimum(left, 8)]
+            h[open_] = mix((h[open_] ^ part) * np.uint64(0xD6E8FEB86659FD93))
+            open_, done = open_[left > 8], done + 8
+        for i in np.flatnonzero(n > _LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
+
     def owner(self, starts: np.ndarray) -> np.ndarray:
         """The text in which each position lies."""
         return np.searchsorted(self.bounds[1:], starts, side="right")
@@ -94,8 +130,7 @@ class Block:
     def words(self, inside: np.ndarray = NOT_BLANK, lower: bool = True):
         """(starts, ends, hashes, first word of each text and the number of words)."""
         starts, ends = self.spans(inside)
-        prefix = self.prefix_hash(LOWER[self.data] if lower else None)
-        return starts, ends, self.hashes(starts, ends, prefix), np.searchsorted(starts, self.bounds)
+        return starts, ends, self.word_hashes(starts, ends, LOWER[self.data] if lower else None), np.searchsorted(starts, self.bounds)
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -112,17 +147,20 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Cut Arrow batches into blocks of about ``most`` bytes of ``column``; empty batches give nothing."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
-        size = texts.cast(pa.large_binary()).fill_null(b"")
-        offsets = np.frombuffer(size.buffers()[1], np.int64)[size.offset:size.offset + len(size) + 1]
-        first = 0
-        while first < batch.num_rows:
-            last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
-            part = batch.slice(first, last - first)
-            yield part, Block(size.slice(first, last - first))
-            first = last
+    try:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column))
+            size = texts.cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(size.buffers()[1], np.int64)[size.offset:size.offset + len(size) + 1]
+            first = 0
+            while first < batch.num_rows:
+                last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
+                last = min(max(last, first + 1), batch.num_rows)
+                part = batch.slice(first, last - first)
+                yield part, Block(size.slice(first, last - first))
+                first = last
+    finally:
+        give_back()
 
 
 def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
