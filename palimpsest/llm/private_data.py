@@ -43,7 +43,12 @@ PATTERNS = {
 SAMPLE_DOCS, MOST_TOKENS, EPOCHS, PRIOR = 20_000, 14, 12, -3.0
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 _RUN = re.compile(r"[+(]?[0-9](?:[ ().+\-]{0,3}[0-9])*")
-_MAIL = re.compile(r"[A-Za-z0-9._%+\-]*@[A-Za-z0-9._%+\-@]*")
+_MAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*+@[A-Za-z0-9._%+\-@]*")
+# Two patterns start with a run of one class, and only its first character, or what a match leaves of it, can start a match. So
+# each run is read once, however long.
+_LEAD = {"email": "[A-Za-z0-9._%+-]", "ip": "[0-9]"}
+_WHOLE = {k: re.compile(f"{lead}+{PATTERNS[k][len(lead):]}") for k, lead in _LEAD.items()}
+_AHEAD = {k: re.compile(f"(?<!{lead}){lead}+{PATTERNS[k][len(lead):]}") for k, lead in _LEAD.items()}
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 _DIGIT = (BYTES >= 48) & (BYTES <= 57)
 
@@ -67,6 +72,17 @@ def _valid(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def _found(kind: str, text: str) -> Iterator[re.Match]:
+    """Leftmost matches that don't overlap, as finditer gives them."""
+    if kind not in _LEAD:
+        yield from _COMPILED[kind].finditer(text)
+        return
+    m = _AHEAD[kind].search(text)
+    while m:
+        yield m
+        m = _WHOLE[kind].match(text, m.end()) or _AHEAD[kind].search(text, m.end())
+
+
 def base_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(valid, failed) matches by kind, then start."""
     good: list[Span] = []
@@ -74,7 +90,7 @@ def base_spans(text: str) -> tuple[list[Span], list[Span]]:
     for kind in KINDS:
         if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
             continue
-        for m in _COMPILED[kind].finditer(text):
+        for m in _found(kind, text):
             (good if _valid(kind, m.group()) else failed).append((kind, m.start(), m.end()))
     return good, failed
 

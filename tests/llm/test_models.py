@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -306,3 +307,21 @@ def test_small_sources_are_pooled_by_language(spark):
 @pytest.mark.parametrize("table", [[]])
 def test_empty_quality(spark, table):
     assert quality.judged(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect() == []
+
+
+# --- patterns on long runs ------------------------------------------------------------------------------------
+
+@given(st.text("ab1.9@-_%+ ", max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_each_run_is_read_once_with_the_same_matches(text):
+    for kind, pattern in private_data.PATTERNS.items():
+        want = [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+        assert [(m.start(), m.end()) for m in private_data._found(kind, text)] == want
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "x" * 1_000_000 + " a@b.c", "a@b.c " + "x" * 1_000_000, "x@" + "y" * 1_000_000, "1." * 500_000, "a@b." * 250_000, "a@b.c_" * 150_000, "+1" * 500_000])
+def test_long_runs_take_time_in_proportion(text):
+    start = time.perf_counter()
+    private_data.base_spans(text)
+    list(private_data.regions(text))
+    assert time.perf_counter() - start < 10
