@@ -113,6 +113,26 @@ class Matrix:
         self.ids, self.cols, self.vals = get("ids", "<i8"), get("cols", "<i4"), get("vals", "<f8")
         self.of = np.repeat(np.arange(len(self.rows)), np.diff(self.starts))
 
+    def distinct(self) -> tuple[Matrix, np.ndarray]:
+        """The rows that differ in label or values, in their order, and how often each occurs."""
+        seen: dict[tuple, int] = {}
+        first, count = [], []
+        cuts = self.starts.tolist()
+        for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            at = seen.setdefault((self.labels[i], self.cols[a:z].tobytes(), self.vals[a:z].tobytes()), len(first))
+            if at == len(first):
+                first.append(i)
+                count.append(0)
+            count[at] += 1
+        held = np.zeros(len(self.rows), bool)
+        held[first] = True
+        out = object.__new__(Matrix)
+        out.rows, out.labels, out.ids = self.rows[held], self.labels[held], self.ids
+        out.starts = np.concatenate([[0], np.cumsum(np.diff(self.starts)[held])])
+        out.cols, out.vals = self.cols[held[self.of]], self.vals[held[self.of]]
+        out.of = np.repeat(np.arange(len(first)), np.diff(out.starts))
+        return out, np.array(count, float)
+
     def times(self, w: np.ndarray) -> np.ndarray:
         """One number a row: its values times those of its terms."""
         return np.add.reduceat(self.vals * w[self.cols], self.starts[:-1])

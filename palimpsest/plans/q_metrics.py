@@ -17,7 +17,7 @@ def rounded(df, *columns, places=6):
     return df
 
 
-_RATES = {
+RATES = {
     "accuracy": "(tp + tn) / (tp + tn + fp + fn)", "recall": "tp / (tp + fn)", "recall_0": "tn / (tn + fp)",
     "precision": "tp / (tp + fp)", "precision_0": "tn / (tn + fn)", "f1": "2 * tp / (2 * tp + fp + fn)",
     "f1_0": "2 * tn / (2 * tn + fp + fn)",
@@ -31,13 +31,13 @@ _CELLS = """SELECT {by} sum(CASE WHEN y = 1 AND yhat = 1 THEN 1.0E0 ELSE 0 END)
 
 def _rate_sql(by: str, names) -> str:
     cells = _CELLS.format(by=f"{by}, " if by else "", group=f"GROUP BY {by}" if by else "")
-    safe = [f"round(coalesce(CASE WHEN isfinite({_RATES[n]}) THEN {_RATES[n]} END, 0), 6) AS {n}" for n in names]
+    safe = [f"round(coalesce(CASE WHEN isfinite({RATES[n]}) THEN {RATES[n]} END, 0), 6) AS {n}" for n in names]
     return using("v_pred", f"SELECT {by + ', ' if by else ''}{', '.join(safe)} FROM ({cells})")
 
 
-@query("binary_metrics", _rate_sql("lang", _RATES))
+@query("binary_metrics", _rate_sql("lang", RATES))
 def binary_metrics(spark, sf):
-    return rounded(mt.binary_metrics(fx.predicted(spark, sf), by=["lang"]), *_RATES)
+    return rounded(mt.binary_metrics(fx.predicted(spark, sf), by=["lang"]), *RATES)
 
 
 @query("mcc", _rate_sql("", ["mcc"]))

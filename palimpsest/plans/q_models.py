@@ -13,7 +13,12 @@ from palimpsest.functions import plugins
 from palimpsest.functions import text as tx
 from palimpsest.plans import fixtures as fx
 from palimpsest.plans import models as md
-from palimpsest.plans.catalog import query, s_words, using
+from palimpsest.plans import text_models as tm
+from palimpsest.plans.catalog import ORACLES, query, s_tokens, s_words, using
+from palimpsest.plans.forest import split_counts
+from palimpsest.plans.linear import fit_linear, gradient
+from palimpsest.plans.q_cleaning import rewrite_sql
+from palimpsest.plans.q_metrics import RATES, rounded
 from palimpsest.plans.quality import DEFAULT_METRICS
 from palimpsest.plans.systems import evaluate_systems
 from palimpsest.workspace import fresh_path
@@ -25,8 +30,8 @@ def _split(spark, sf, name):
 
 
 def _predictions(spark, sf, classifier, feature="TFIDF"):
-    model = md.fit_classifier(_split(spark, sf, "train"), classifier, feature)
-    return md.predict(model, _split(spark, sf, "test")).select("doc_id", "label", "pred")
+    models = tm.fit_many(_split(spark, sf, "train"), [classifier], feature)
+    return tm.predict_many(models, _split(spark, sf, "test")).select("doc_id", "label", "pred")
 
 
 @query("svm_text_classifier")
@@ -49,17 +54,57 @@ def logistic_text_classifier(spark, sf):
     return _predictions(spark, sf, "LR")
 
 
+_TRAIN_SQL = f"SELECT doc_id, label, unnest({s_tokens('text')}) AS term FROM v_class WHERE split = 'train'"
+
+
+@query("linear_optimum", using("v_class", """
+    SELECT feature, classifier, (SELECT count(*) FROM v_class WHERE split = 'train') AS rows, (SELECT count(DISTINCT term) FROM terms) AS terms,
+           0.0::DOUBLE AS gap FROM (VALUES ('TFIDF'), ('BOW')) a(feature), (VALUES ('SVM'), ('LR')) b(classifier)""", terms=_TRAIN_SQL))
+def linear_optimum(spark, sf):
+    """All terms have weights, and the weights leave no duality gap: they are those of the optimum."""
+    rows = []
+    for feature in ("TFIDF", "BOW"):
+        data = tm.training_blocks(_split(spark, sf, "train"), feature)
+        fit = fit_linear(data, tm.problems_of(data, ["SVM", "LR"], feature), tolerance=1e-10)
+        terms, n = data.terms.count(), data.sizes[tm.ALL][0]
+        rows += [(feature, name, n, terms, round(abs(fit.gaps[tm.ALL, loss]), 9)) for name, loss in tm.LOSSES.items()]
+    return spark.createDataFrame(rows, "feature string, classifier string, rows long, terms long, gap double")
+
+
+@query("logistic_gradient", using("v_class", "SELECT (SELECT count(*) FROM v_class WHERE split = 'train') AS rows, 0.0::DOUBLE AS norm"))
+def logistic_gradient(spark, sf):
+    """The length of the gradient at the fitted weights, by joins and sums over all terms of all rows."""
+    data = tm.training_blocks(_split(spark, sf, "train"))
+    problems = tm.problems_of(data, ["LR"], "TFIDF")
+    slope = gradient(data, fit_linear(data, problems, tolerance=1e-14), problems)
+    return slope.select(F.lit(data.sizes[tm.ALL][0]).cast("long").alias("rows"), F.abs(F.round("norm", 6)).alias("norm"))
+
+
+_ROOT_SQL = using("v_class", """
+    SELECT t.term, count(*) FILTER (label = 0) AS a0, count(*) FILTER (label = 1) AS a1, any_value(n0) AS n0, any_value(n1) AS n1
+    FROM (SELECT DISTINCT doc_id, label, term FROM terms) t,
+         (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM v_class WHERE split = 'train') GROUP BY t.term""", terms=_TRAIN_SQL)
+
+
+@query("term_splits", _ROOT_SQL)
+def term_splits(spark, sf):
+    """What every split at a root has to choose from: class counts of the texts with each term, from the blocks."""
+    data = tm.training_blocks(_split(spark, sf, "train"))
+    return split_counts(data).join(data.terms.select("term_id", "term"), "term_id").select("term", *[F.col(c).cast("long").alias(c) for c in ("a0", "a1", "n0", "n1")])
+
+
 @query("save_load_model")
 def save_load_model(spark, sf):
     path = fresh_path(spark, "model")
-    md.save_model(md.fit_classifier(_split(spark, sf, "train"), "LR"), path)
-    return md.predict(md.load_model(path), _split(spark, sf, "test")).select("doc_id", "label", "pred")
+    tm.fit_many(_split(spark, sf, "train"), ["LR", "RF"]).save(path)
+    return tm.predict_many(tm.TextModels.load(spark, path), _split(spark, sf, "test")).select("doc_id", "label", "classifier", "pred")
 
 
 @query("formality")
 def formality(spark, sf):
-    model = md.fit_classifier(_split(spark, sf, "train"), "LR")
-    return md.formality(model, fx.pairs(spark, sf), "adv_text").select("doc_id", "sent_id", "label", "formality")
+    models = tm.fit_many(_split(spark, sf, "train"), ["LR"])
+    pairs = fx.pairs(spark, sf).select("doc_id", "sent_id", "label", F.col("adv_text").alias("text"))
+    return tm.predict_many(models, pairs).select("doc_id", "sent_id", "label", F.col("score").alias("formality"))
 
 
 def _knobs(docs):
@@ -70,25 +115,76 @@ def _knobs(docs):
     return docs.select("*", F.inline(runs))
 
 
-@query("static_adversary")
-def static_adversary(spark, sf):
+def _static(spark, sf, classifiers, learner=None):
     test = _split(spark, sf, "test")
     sides = test.select("doc_id", "label", "text", F.lit("Original").alias("model"), F.lit("None").alias("temperature")).unionByName(
         _knobs(test).select("doc_id", "label", F.col("adv_text").alias("text"), F.col("system").alias("model"), "temperature"))
-    return md.static_adversary(_split(spark, sf, "train"), sides, ["model", "temperature"], ["SVM", "LR"])
+    return md.static_adversary(_split(spark, sf, "train"), sides, ["model", "temperature"], classifiers, learner=learner)
+
+
+def _adaptive(spark, sf, classifiers, learner=None):
+    learnt, scored = (_knobs(docs).select("doc_id", "label", F.col("adv_text").alias("text"), "system", "temperature")
+                      for docs in (_split(spark, sf, "train"), _split(spark, sf, "test")))
+    return md.adaptive_adversary(_split(spark, sf, "train"), learnt, scored, ["system", "temperature"], classifiers,
+                                 learner=learner, knob=["system", "temperature"])
+
+
+@query("static_adversary")
+def static_adversary(spark, sf):
+    return _static(spark, sf, list(md.CLASSIFIERS))
 
 
 @query("adaptive_adversary")
 def adaptive_adversary(spark, sf):
-    train, out = _split(spark, sf, "train"), None
-    learnt, scored = (_knobs(docs).select("doc_id", "label", F.col("adv_text").alias("text"), "system", "temperature")
-                      for docs in (train, _split(spark, sf, "test")))
-    for knob in ("t0", "t1"):   # each knob has its own training set
-        mine = F.col("temperature") == knob
-        rows = md.adaptive_adversary(train, learnt.where(mine).select("doc_id", "label", "text"), scored.where(mine),
-                                     ["system", "temperature"], list(md.CLASSIFIERS))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _adaptive(spark, sf, list(md.CLASSIFIERS))
+
+
+# The adversaries with a rule in place of the fit, so that SQL can say all their rows: class 1 is what has more tokens than the mean
+# training text of the set.
+
+def longer_than_the_mean(train, classifiers):
+    tokens = F.size(tx.tokens(F.coalesce("text", F.lit(""))))
+    means = train.select(F.explode("sets").alias("set"), tokens.alias("k")).groupBy("set").agg(F.sum("k").alias("_sum"), F.count("*").alias("_n"))
+
+    def judge(df):
+        asked = df.select("*", F.explode("sets").alias("set"), tokens.alias("_k")).join(F.broadcast(means), "set")   # a row a set
+        named = asked.select("*", (F.col("_k") * F.col("_n") > F.col("_sum")).cast("int").alias("pred"), F.explode(F.array(*map(F.lit, classifiers))).alias("classifier"))
+        return named.drop("text", "sets", "_k", "_sum", "_n")
+    return judge
+
+
+_COUNT = f"len({s_tokens("coalesce(text, '')")})"
+_KNOB_TABLES = {
+    "rewritten": rewrite_sql("v_class", "doc_id, label, split"),
+    "knobs": """SELECT doc_id, label, split, 'rewriter' AS system, 't0' AS temperature, rewritten AS text FROM rewritten
+        UNION ALL SELECT doc_id, label, split, 'rewriter', 't1', lower(rewritten) FROM rewritten""",
+}
+
+
+def _rates_sql(keys: str, classifier: str) -> str:
+    """Long result rows from a table ``judged`` of keys, y and yhat."""
+    cell = lambda y, p: f"sum(CASE WHEN y = {y} AND yhat = {p} THEN 1.0E0 ELSE 0 END)"
+    cells = f"SELECT {keys}, {cell(1, 1)} AS tp, {cell(0, 0)} AS tn, {cell(0, 1)} AS fp, {cell(1, 0)} AS fn FROM judged GROUP BY {keys}"
+    each = [f"SELECT {keys}, '{classifier}' AS classifier, '{shown}' AS metric, round(coalesce(CASE WHEN isfinite({RATES[name]}) THEN {RATES[name]} END, 0), 6) AS value FROM cells"
+            for name, shown in md._METRIC_NAMES.items()]
+    return f"SELECT * FROM (WITH cells AS ({cells}) " + " UNION ALL ".join(each) + ")"
+
+
+@query("static_adversary_rule", using("v_class", _rates_sql("model, temperature", "rule"), recursive=True, **_KNOB_TABLES,
+    mean="SELECT avg(k) AS k FROM (SELECT " + _COUNT + " AS k FROM v_class WHERE split = 'train')",
+    sides="SELECT 'Original' AS model, 'None' AS temperature, label, text FROM v_class WHERE split = 'test' UNION ALL SELECT system, temperature, label, text FROM knobs WHERE split = 'test'",
+    judged="SELECT model, temperature, label AS y, CAST(" + _COUNT + " > mean.k AS INT) AS yhat FROM sides, mean"))
+def static_adversary_rule(spark, sf):
+    return rounded(_static(spark, sf, ["rule"], longer_than_the_mean), "value")
+
+
+@query("adaptive_adversary_rule", using("v_class", _rates_sql("system, temperature", "ADA_rule"), recursive=True, **_KNOB_TABLES,
+    learnt="""SELECT t AS temperature, text FROM v_class, (VALUES ('t0'), ('t1')) k(t) WHERE split = 'train' AND text IS NOT NULL AND label IS NOT NULL AND len(string_split(text, ' ')) > 3
+        UNION ALL SELECT temperature, text FROM knobs WHERE split = 'train' AND text IS NOT NULL AND label IS NOT NULL""",
+    mean="SELECT temperature, avg(k) AS k FROM (SELECT temperature, " + _COUNT + " AS k FROM learnt) GROUP BY temperature",
+    judged="SELECT system, s.temperature, label AS y, CAST(" + _COUNT + " > mean.k AS INT) AS yhat FROM knobs s JOIN mean ON mean.temperature = s.temperature WHERE split = 'test'"))
+def adaptive_adversary_rule(spark, sf):
+    return rounded(_adaptive(spark, sf, ["rule"], longer_than_the_mean), "value")
 
 
 def drop_fillers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -98,20 +194,15 @@ def drop_fillers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.str.replace(pattern, "", regex=True)
 
 
-@query("batch_generate", using("v_pair", r"""
-    SELECT doc_id, sent_id, text, label, regexp_replace(text, '\b(the|an?) ', '', 'gi') AS adv_text FROM ascii_pairs""",
-    ascii_pairs=r"SELECT * REPLACE (regexp_replace(text, '[^\x00-\x7f]', '', 'g') AS text) FROM v_pair"))
-def batch_generate(spark, sf):
-    pairs = fx.pairs(spark, sf).select("doc_id", "sent_id", "label", F.regexp_replace("text", r"[^\x00-\x7f]", "").alias("text"))
-    return md.batch_generate(pairs, "text", "adv_text", drop_fillers).select("doc_id", "sent_id", "text", "label", "adv_text")
-
-
-# The texts as they are. RE2's \b knows ASCII letters only, so the oracle names the characters of a word as classes; a run of
-# fillers is one match there, because a match takes the character in front of it along.
 @query("batch_generate_whole", using("v_pair", r"""
     SELECT doc_id, sent_id, text, label,
            regexp_replace(text, '(^|[^\p{L}\p{N}_])((the|an?) )+', '\1', 'gi') AS adv_text FROM v_pair"""))
 def batch_generate_whole(spark, sf):
+    return batch_generate(spark, sf)
+
+
+@query("batch_generate", ORACLES["batch_generate_whole"])
+def batch_generate(spark, sf):
     pairs = fx.pairs(spark, sf).select("doc_id", "sent_id", "label", "text")
     return md.batch_generate(pairs, "text", "adv_text", drop_fillers).select("doc_id", "sent_id", "text", "label", "adv_text")
 

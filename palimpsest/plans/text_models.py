@@ -9,6 +9,7 @@ get no rows; a set of one class predicts it; unknown terms count nothing; a text
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -139,3 +140,12 @@ def _forest(models: TextModels, rows: DataFrame, keys: list[str]) -> DataFrame:
                                              [*keys, "set", "classifier", "pred", "score"])
     schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("set", T.StringType()), T.StructField("classifier", T.StringType()), T.StructField("pred", T.IntegerType()), T.StructField("score", T.DoubleType())])
     return rows.select(*keys, "set", F.array_distinct(tokens(F.col("_text"))).alias("_tokens")).mapInArrow(judge, schema)
+
+
+#: Training texts (text, label, sets) and classifiers to a function from texts (further columns, text, sets) to their predictions.
+Learner = Callable[[DataFrame, list[str]], Callable[[DataFrame], DataFrame]]
+
+
+def learn(train: DataFrame, classifiers: list[str]) -> Callable[[DataFrame], DataFrame]:
+    models = fit_many(train, classifiers, sets="sets")
+    return lambda df: predict_many(models, df, sets="sets")
