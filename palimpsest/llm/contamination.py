@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.tables import wide_rows
 from palimpsest.llm.tokens import ALNUM, Block, binary, blocks, factorize
 from palimpsest.workspace import stored
 
@@ -170,8 +171,9 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["term", "n"])
     out = np.zeros(len(terms), np.int64)
     # at most one row a term of the block
-    for row in index.select("terms", "offsets").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[row.term] = row.n
+    with wide_rows(index.sparkSession):
+        for row in index.select("terms", "offsets").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            out[row.term] = row.n
     return out
 
 
@@ -210,10 +212,12 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def documents_hit(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0, query_words: int = QUERY_WORDS) -> DataFrame:
     """doc_id, n_words, starts, ends, items for every row of (doc_id, text); empty lists where nothing matches."""
-    index = stored(build_index(docs), "postings")
+    with wide_rows(docs.sparkSession, 200):
+        index = stored(build_index(docs), "postings")
     found = None
     for windows in query_blocks(benchmark, width, query_words):
-        hits = stored(search(index, windows, slop), "hits")
+        with wide_rows(docs.sparkSession):
+            hits = stored(search(index, windows, slop), "hits")
         found = hits if found is None else found.unionByName(hits)
     sizes = index.select("segment", "doc_ids", "firsts").mapInArrow(_sizes, f"segment long, nth long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long")
     none = F.array().cast("array<bigint>")

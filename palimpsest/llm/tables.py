@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,17 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, BATCH_ROWS)
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = 16) -> Iterator[None]:
+    """Arrow batches of few rows for what is written inside: a batch of packed rows lies outside the heap, in the JVM and in Python."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """Marked for broadcast if it is counted to have at most ``most`` rows; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= most else df
