@@ -13,10 +13,10 @@ BATCH_ROWS = "1000"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def lean(spark: SparkSession) -> None:
-    """Small Arrow batches, where the session has Spark's default of 10,000 rows. Results don't depend on it."""
-    if spark.conf.get(_ROWS) == "10000":
-        spark.conf.set(_ROWS, BATCH_ROWS)
+def lean(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
+    """Small Arrow batches, where the session has Spark's default of 10,000 rows or what this has set before. Results don't depend on it."""
+    if spark.conf.get(_ROWS) in ("10000", BATCH_ROWS):
+        spark.conf.set(_ROWS, rows)
 
 
 @contextmanager
