@@ -26,56 +26,59 @@ from palimpsest.workspace import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 SMALL = 500_000
-_KEY = "_document"
+ROWS = "250"  # of an Arrow batch: five stages in one session leave less room than one operator alone
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a key of their own: the id, or a number where ids are null or repeated."""
-    lean(docs.sparkSession)
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of their own, and its name: the id, or a number where ids are null or repeated."""
+    lean(docs.sparkSession, ROWS)
+    key = "_document"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key = f"_{key}"
     n = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if n.rows == n.ids:
-        return docs.withColumn(_KEY, F.col("doc_id"))
-    return stored(docs.withColumn(_KEY, F.monotonically_increasing_id()), "numbered")
+        return docs.withColumn(key, F.col("doc_id")), key
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
 
 
-def _named(docs: DataFrame) -> DataFrame:
+def _named(docs: DataFrame, key: str) -> DataFrame:
     """The documents under their key instead of their id."""
-    return docs.drop("doc_id").withColumnRenamed(_KEY, "doc_id")
+    return docs.drop("doc_id").withColumnRenamed(key, "doc_id")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = few(stored(ids.select(F.col("doc_id").alias(_KEY)), "dropped"), SMALL)
-    return docs.join(gone, _KEY, "left_anti")
+def _without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    gone = few(stored(ids.select(F.col("doc_id").alias(key)), "dropped"), SMALL)
+    return docs.join(gone, key, "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = language.label(_named(rows), language.train(_named(rows)))
+    rows, key = keyed(docs)
+    found = language.label(_named(rows, key), language.train(_named(rows, key)))
     rejected = found.filter(F.col("lang_pred") == language.UNKNOWN)
-    return _without(rows, rejected).select(docs.columns)
+    return _without(rows, key, rejected).select(docs.columns)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    groups = jaccard.near_duplicates(_named(rows))
-    return _without(rows, groups.filter("doc_id <> component_id")).select(docs.columns)
+    rows, key = keyed(docs)
+    groups = jaccard.near_duplicates(_named(rows, key))
+    return _without(rows, key, groups.filter("doc_id <> component_id")).select(docs.columns)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    report = contamination.contamination_report(_named(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(rows, report.filter("contaminated")).select(docs.columns)
+    rows, key = keyed(docs)
+    report = contamination.contamination_report(_named(rows, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, key, report.filter("contaminated")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    return mixing.mixed(rows, _KEY).select(docs.columns)
+    rows, key = keyed(docs)
+    return mixing.mixed(rows, key).select(docs.columns)
 
 
 def ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    lean(spark)
+    lean(spark, ROWS)
     return binary_ids.ids_report(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
