@@ -31,6 +31,25 @@ def read_corpus(spark, sf):
     return corpus.read_corpus(spark, path, "pairs")
 
 
+@query("import_legacy", using("v_pair_null", f"""
+    SELECT CASE WHEN t NOT IN ({_TOKENS}) THEN t END AS "Text", CASE WHEN adv_text NOT IN ({_TOKENS}) THEN adv_text END AS "AdvText", label AS "Label",
+           doc_id AS "doc_ID", pos AS sent_id, 'sys' AS system, 'talk' AS dataset, part AS split, CASE part WHEN 'test' THEN 'KB' ELSE 'original' END AS setting, 'sent' AS level, false AS raw
+    FROM (SELECT *, replace(text, '. ', '."' || chr(10) || ' ') AS t, row_number() OVER (PARTITION BY part, doc_id % 16 ORDER BY doc_id, sent_id) - 1 AS pos
+          FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM v_pair_null))"""))
+def import_legacy(spark, sf):
+    """Two older corpora below one folder, of other column orders and label names, with quotes and line ends in cells and no row keys."""
+    base = fresh_path(spark, "legacy")
+    table = fx.pairs_null(spark, sf).select("doc_id", "sent_id", "label", "adv_text", F.replace("text", F.lit(". "), F.lit('."\n ')).alias("text"),
+                                            (F.col("doc_id") % 16).alias("bucket"), (F.col("doc_id") % 3 == 0).alias("test"))
+    null = lambda c: F.coalesce(c, F.lit("NaN"))
+    shapes = {True: ("talk_test_obfuscated_KB_sentences.csv", [null("text").alias("Text"), F.col("label").alias("Label"), F.col("doc_id").alias("doc_ID"), null("adv_text").alias("AdvText")]),
+              False: ("talk_train_original_sentences.csv", [F.col("doc_id").alias("doc_ID"), F.col("label").alias("Class"), null("adv_text").alias("AdvText"), null("text").alias("Text")])}
+    for test, (name, columns) in shapes.items():
+        rows = table.where(F.col("test") == test).repartition(16, "bucket").sortWithinPartitions("bucket", "doc_id", "sent_id")
+        corpus.write_csv(rows.select(*columns, "bucket"), f"{base}/{name}", by=["bucket"])
+    return corpus.import_legacy(spark, base, "sys")
+
+
 _LAYOUT_SQL = """SELECT doc_id, text, label, lang AS dataset, split, source AS system,
     CASE WHEN doc_id % 2 = 0 THEN 'KB' ELSE 'original' END AS setting, 'doc' AS level FROM v_class"""
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.schema import KINDS, LABEL, LABEL_ALIASES, NULL_TOKENS
+from palimpsest.schema import KINDS, LABEL, LABEL_ALIASES, NULL_TOKENS, SENT
+from palimpsest.sources import files
 
 LAYOUT = ["dataset", "split", "system", "setting", "level"]
 _CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -35,9 +36,26 @@ def read_corpus(spark: SparkSession, path: str | list[str], kind: str = "pairs",
     return raw.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    (df.write.mode("overwrite").options(**_CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-                                        maxRecordsPerFile=rows_per_file).csv(path))
+def read_legacy(spark: SparkSession, path: str | list[str], kind: str = "pairs") -> DataFrame:
+    """All CSV files below ``path``, each with its own header, as the declared schema with ``file`` and ``row``.
+
+    ``row`` is the position in the file, from 0; where a file has no ``sent_id`` it stands for it, so no row lacks a key. See ``files``.
+    """
+    rows, _ = files.read_files(spark, path)
+    label = F.coalesce(*[F.when(F.array_contains("names", a), F.lit(a)) for a in (LABEL, *LABEL_ALIASES)])
+    out = []
+    for field in KINDS[kind].fields:
+        text = files.cell(label if field.name == LABEL else field.name)
+        text = F.when(~text.isin(*NULL_TOKENS), text)
+        value = text if isinstance(field.dataType, T.StringType) else text.try_cast(field.dataType)
+        out.append((F.coalesce(value, F.col("row")) if field.name == SENT else value).alias(field.name))
+    return rows.select(*out, "file", "row")
+
+
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000, by: list[str] | None = None) -> None:
+    writer = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
+    (writer.options(**_CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                    maxRecordsPerFile=rows_per_file).csv(path))
 
 
 def write_corpus(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
@@ -76,11 +94,15 @@ def legacy_name(name: Column) -> list[Column]:
     ]
 
 
-def import_legacy(spark: SparkSession, path: str, system: str, kind: str = "pairs") -> DataFrame:
-    """All CSV files below ``path`` that share one header, with the layout columns taken from their names."""
-    table = read_corpus(spark, path, kind)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return table.select("*", F.lit(system).alias("system"), *legacy_name(name))
+def import_legacy(spark: SparkSession, path: str | list[str], system: str, kind: str = "pairs") -> DataFrame:
+    """All CSV files below ``path``, whatever their column orders, with the layout columns taken from their names.
+
+    A folder of part files counts as one file of the folder's name, if that ends in ``.csv``.
+    """
+    folder = F.regexp_extract("file", r"([^/]+\.csv)/", 1)
+    name = F.when(folder != "", folder).otherwise(F.regexp_extract("file", r"([^/]+)$", 1))
+    table = read_legacy(spark, path, kind).withColumn("_name", name)
+    return table.select("*", F.lit(system).alias("system"), *legacy_name(F.col("_name"))).drop("file", "row", "_name")
 
 
 def snapshot_raw(spark: SparkSession, raw_path: str, clean_path: str, clean, incoming: DataFrame | None = None) -> DataFrame:
