@@ -72,13 +72,13 @@ def term_blocks(texts: DataFrame, tokens: Column, feature: str = "TFIDF", entrie
     each = salted_lookup(counted.select("row_id", "term", "tf", F.explode("sets").alias("set")), terms.select("set", "term", "term_id", "idf"), ["set", "term"], ["row_id"])
     cells = each.select("set", "row_id", "term_id", (F.col("tf") * F.col("idf")).alias("value"), F.lit(None).cast("double").alias("label"))
     cells = cells.unionByName(members.select("set", "row_id", F.lit(INTERCEPT).cast("long").alias("term_id"), F.lit(1.0).alias("value"), "label"))
-    packed = cells.withColumn("block", block).groupBy("set", "block").applyInArrow(_pack(feature == "TFIDF"), BLOCK)
+    packed = cells.withColumn("block", block).groupBy("set", "block").applyInArrow(pack_cells(feature == "TFIDF"), BLOCK)
     blocks = stored(packed, "term-blocks")
     uses = stored(blocks.select("set", "block", "ids").mapInArrow(_ids, "set string, block int, term_id long"), "term-uses")
     return TermBlocks(terms, blocks, uses, sizes)
 
 
-def _pack(normalise: bool):
+def pack_cells(normalise: bool):
     def pack(cells: pa.Table) -> pa.Table:
         row, term, value = (cells[c].to_numpy() for c in ("row_id", "term_id", "value"))
         order = np.lexsort((np.where(term == INTERCEPT, np.iinfo(np.int64).max, term), row))

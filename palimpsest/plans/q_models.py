@@ -16,6 +16,7 @@ from palimpsest.plans import models as md
 from palimpsest.plans import text_models as tm
 from palimpsest.plans.catalog import ORACLES, query, s_tokens, s_words, using
 from palimpsest.plans.forest import split_counts
+from palimpsest.plans.kernel import fit_kernel, predict_kernel
 from palimpsest.plans.linear import fit_linear, gradient
 from palimpsest.plans.q_cleaning import rewrite_sql
 from palimpsest.plans.q_metrics import RATES, rounded
@@ -54,6 +55,12 @@ def logistic_text_classifier(spark, sf):
     return _predictions(spark, sf, "LR")
 
 
+@query("kernel_text_classifier")
+def kernel_text_classifier(spark, sf):
+    model = fit_kernel(_split(spark, sf, "train"))
+    return predict_kernel(model, _split(spark, sf, "test")).select("doc_id", "label", "pred")
+
+
 _TRAIN_SQL = f"SELECT doc_id, label, unnest({s_tokens('text')}) AS term FROM v_class WHERE split = 'train'"
 
 

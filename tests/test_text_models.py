@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.term_blocks import INTERCEPT
 from palimpsest.plans import forest as fo
+from palimpsest.plans import kernel
 from palimpsest.plans import linear
 from palimpsest.plans import models as md
 from palimpsest.plans import text_models as tm
@@ -216,3 +217,33 @@ def test_adversaries_from_one_fit_equal_those_from_two(spark):
     two = md.static_adversary(train, sides, by, ["LR"]).unionByName(md.adaptive_adversary(train, knobs, sides.where("new"), by, ["LR"], knob=by))
     rows = lambda df: sorted((*r[:-1], round(r.value, 9)) for r in df.collect())
     assert rows(one) == rows(two) and len(rows(one)) == 8 * 5
+
+
+# kernel ----------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("gamma", [0.5, 1.0, 2.0])
+def test_features_estimate_the_gaussian_kernel(spark, gamma):
+    data = prepared(spark, texts(11, 40), "TFIDF")
+    m = fo.Matrix(data.blocks.first().asDict())
+    x = np.zeros((len(m.rows), len(m.ids)))
+    x[m.of, m.cols] = m.vals
+    x = x[:, m.ids != INTERCEPT]
+    exact = np.exp(-gamma * ((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    z = kernel.projections(m, gamma, 8192, 1)
+    assert np.abs(z @ z.T - exact).max() < 0.05
+    again = kernel.projections(m, gamma, 8192, 1)
+    assert (z == again).all() and np.abs(z @ z.T - exact).mean() < 0.01
+
+
+def test_gamma_follows_the_variance(spark):
+    data = prepared(spark, texts(12, 40), "TFIDF")
+    _, x, _ = matrix(texts(12, 40))
+    x = x[:, :-1]
+    assert abs(kernel.scale_gamma(data) - 1 / (x.shape[1] * x.var())) < 1e-9
+
+
+def test_kernel_separates_what_no_line_does(spark):
+    rows = [(i, " ".join(["aa"] * (i % 2) + ["bb"] * (i // 2 % 2) + ["cc"]), int(i % 2 == i // 2 % 2)) for i in range(80)] + [(99, None, 1)]
+    model = kernel.fit_kernel(frame(spark, rows), features=1024, cost=10.0, gamma=2.0)
+    got = kernel.predict_kernel(model, frame(spark, rows[:8] + [(100, "unknown", 1), (101, None, 0)])).collect()
+    assert len(got) == 10 and {r.doc_id: r.pred for r in got if r.doc_id < 99} == {i: y for i, _, y in rows[:8]} and model.gap < 1e-6
