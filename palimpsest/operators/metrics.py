@@ -132,6 +132,34 @@ def metric_by_class(df: DataFrame, scores: list[str], by: list[str], label: str
             .select(*by, "label_group", F.inline(cells)))
 
 
+# Moments: what a report needs to take in new rows without the old ones.
+
+def metric_moments(df: DataFrame, scores: list[str], by: list[str], label: str = "label") -> DataFrame:
+    """Long table (by…, label_group, metric, n, mean, m2) over all rows and per label; m2 is the sum of squared differences from the mean."""
+    grouped = df.groupingSets([[*map(F.col, by)], [*map(F.col, [*by, label])]], *by, label).agg(
+        F.grouping_id().alias("_all"),
+        *[a for s in scores for a in (F.count(_number(s)).alias(f"{s}#n"), F.avg(_number(s)).alias(f"{s}#mean"), F.var_pop(_number(s)).alias(f"{s}#var"))])
+    names = reduce(lambda c, kv: c.when(F.col(label) == kv[0], F.lit(kv[1])), LABEL_GROUPS.items(), F.when(F.col("_all") > 0, F.lit("ALL")))
+    cells = F.array(*[F.struct(F.lit(s).alias("metric"), F.col(f"{s}#n").alias("n"), F.col(f"{s}#mean").alias("mean"), (F.col(f"{s}#var") * F.col(f"{s}#n")).alias("m2")) for s in scores])
+    return grouped.withColumn("label_group", names).where("label_group IS NOT NULL").select(*by, "label_group", F.inline(cells))
+
+
+def merge_moments(moments: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group and metric of moments of disjoint rows, in any number and order; groups without values keep n = 0."""
+    keys = [*by, "label_group", "metric"]
+    whole = moments.groupBy(*keys).agg(F.sum("n").alias("_n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_mean"))
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys])
+    met = moments.alias("m").join(whole.alias("w"), same).select(*[F.col(f"m.{k}").alias(k) for k in keys], "_n", "_mean", "n", "mean", "m2")
+    spread = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) ** 2)
+    return met.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), spread.alias("m2"))
+
+
+def moments_report(moments: DataFrame, by: list[str]) -> DataFrame:
+    """Merged moments as the long rows of metric_by_class()."""
+    std = F.sqrt(F.try_divide(F.col("m2"), F.col("n").cast("double")))
+    return moments.select(*by, "label_group", "metric", F.col("mean").alias("value"), std.alias("std"))
+
+
 def two_level_mean(df: DataFrame, score: str, group: str, by: list[str] | None = None) -> DataFrame:
     """Mean of the group means."""
     by = by or []

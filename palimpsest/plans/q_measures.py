@@ -9,12 +9,14 @@ from palimpsest.functions import text as tx
 from palimpsest.functions.lexicon import STOP_WORDS, VOWELS
 from palimpsest.operators import trees, vectors
 from palimpsest.operators import vocabulary as voc
+from palimpsest.operators.metrics import merge_moments, moments_report
 from palimpsest.plans import fixtures as fx
 from palimpsest.plans.catalog import query, s_tokens, s_words, using
 from palimpsest.plans.q_cleaning import rewrite_sql
 from palimpsest.plans.q_metrics import edit_tables, rounded
 from palimpsest.plans.detection import detection_sides
-from palimpsest.plans.quality import DEFAULT_METRICS, quality_report
+from palimpsest.plans.quality import DEFAULT_METRICS, quality_moments, quality_report
+from palimpsest.workspace import stored
 
 KEYS = ["doc_id", "sent_id"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -41,7 +43,8 @@ _BOW = f"""SELECT doc_id, split, term, count(*) AS tf FROM (
 
 
 @query("bow_counts", using("v_class", """
-    SELECT doc_id, term, tf FROM counts WHERE split = 'test' AND term IN (SELECT term FROM counts WHERE split = 'train')""", counts=_BOW))
+    SELECT c.doc_id, c.term, c.tf FROM counts c JOIN known k ON k.term = c.term WHERE c.split = 'test'""", counts=_BOW,
+    known=f"SELECT DISTINCT unnest({s_tokens('text')}) AS term FROM v_class WHERE split = 'train'"))
 def bow_counts(spark, sf):
     docs = fx.classified(spark, sf)
     return voc.bow_counts(docs.where("split = 'train'"), docs.where("split = 'test'"), ["doc_id"],
@@ -175,6 +178,39 @@ def meteor_synonyms(spark, sf):
     return rounded(found.select(*KEYS, score.alias("meteor")), "meteor", places=8)
 
 
+_QUALITY_SQL = f"""SELECT 'answers' AS model, CASE grouping(label) WHEN 1 THEN 'ALL' ELSE CASE label WHEN 0 THEN 'CC' ELSE 'AD' END END AS label_group,
+    metric, round(avg(v), 6) AS value, round(stddev_pop(v), 6) AS std FROM (
+      SELECT p.label, unnest([{{'metric': 'meteor', 'v': meteor}}, {{'metric': 'capitals', 'v': len(regexp_extract_all(adv_text, '[A-Z]'))::DOUBLE}}], recursive := true)
+      FROM v_pair p JOIN scored s ON s.doc_id = p.doc_id AND s.sent_id = p.sent_id WHERE len(string_split(text, ' ')) > 3)
+    GROUP BY GROUPING SETS ((metric), (metric, label))"""
+_METEOR_SQL = f"""SELECT s.doc_id, s.sent_id, {_FMEAN} * (1 - 0.5 * pow(coalesce(c.chunks / c.m::DOUBLE, 0), 3)) AS meteor FROM sizes s
+    LEFT JOIN chunked c ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id"""
+
+
+def _capitals(df, keys, a, b, sources):
+    """A metric of the caller's own."""
+    return df.select(*keys, F.size(F.regexp_extract_all(b, F.lit("[A-Z]"), F.lit(0))).cast("double").alias("capitals"))
+
+
+@query("quality_report_own", using("v_pair", _QUALITY_SQL, **_ALIGNED, scored=_METEOR_SQL))
+def quality_report_own(spark, sf):
+    """METEOR, and a metric that the caller gives, in one report."""
+    pairs = fx.pairs(spark, sf).withColumn("model", F.lit("answers"))
+    return rounded(quality_report(pairs, ["model", *KEYS], ["model"], ["meteor", "capitals"], extra={"capitals": _capitals}), "value", "std")
+
+
+@query("quality_moments", using("v_pair", _QUALITY_SQL, **_ALIGNED, scored=_METEOR_SQL))
+def merged_quality_moments(spark, sf):
+    """The same report from moments of four parts, each measured and stored by itself."""
+    pairs = fx.pairs(spark, sf).withColumn("model", F.lit("answers"))
+    out = None
+    for part in range(4):
+        mine = quality_moments(pairs.where(F.col("doc_id") % 4 == part), ["model", *KEYS], ["model"], ["meteor", "capitals"], extra={"capitals": _capitals})
+        mine = stored(mine, "moments")
+        out = mine if out is None else out.unionByName(mine)
+    return rounded(moments_report(merge_moments(out, ["model"]), ["model"]), "value", "std")
+
+
 # vectors -------------------------------------------------------------------------------------
 
 @query("embedding_cosine", using("v_embpair", """
