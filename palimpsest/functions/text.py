@@ -111,6 +111,7 @@ def strip(text: Column) -> Column:
 def strip_markup(text: Column) -> Column:
     """Quotes out, right trim, bracketed parts, stars and line ends out, in this order."""
     bare = rstrip(F.translate(text, '"', ""))
+    # The two bracket patterns; the second has the first one's inner class.
     no_round = F.regexp_replace(bare, r"\([^)]*\)", "")
     no_square = F.regexp_replace(no_round, r"\[[^)]*\]", "")
     return F.translate(no_square, "*\n", "")

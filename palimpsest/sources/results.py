@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.schema import NULL_TOKENS
+from palimpsest.sources.files import read_rows
 
 
 def write_two_level(wide: DataFrame, path: str, keys: list[str], cells: list[tuple[str, str]]) -> None:
@@ -37,16 +37,15 @@ def write_two_level(wide: DataFrame, path: str, keys: list[str], cells: list[tup
 
 
 def read_two_level(spark: SparkSession, path: str) -> DataFrame:
-    """Long table (keys, classifier, metric, value). Only the two header lines reach the driver.
+    """Long table (keys, classifier, metric, value). Only the two header lines reach the driver. Keys may hold line ends.
 
     A column whose second line is blank or ``Unnamed…`` is a key; the rest are cells. Rows that
     repeat a header are dropped; cells without a value give no row.
     """
-    top = [r.value for r in spark.read.text(path).head(2)]
-    first, second = next(csv.reader([top[0]])), next(csv.reader([top[1]]))
+    table = read_rows(spark, path)
+    first, second = (table.where(F.col("row") == k).first().cells for k in (0, 1))
     is_key = [s.strip() == "" or s.startswith("Unnamed") for s in second]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(first))])
-    body = spark.read.schema(schema).options(quote='"', escape='"').csv(path)
+    body = table.select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(first))])
     clean = lambda i: F.when(~F.col(f"c{i}").isin(*NULL_TOKENS), F.col(f"c{i}"))
     lead = [i for i, k in enumerate(is_key) if k]
     cells = [i for i, k in enumerate(is_key) if not k]

@@ -128,3 +128,17 @@ def test_scratch_lies_in_the_shared_folder(spark):
     df = durable(spark.range(5))
     assert df.count() == 5 and "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
     assert stored(spark.range(5), "t").count() == 5
+
+
+def test_two_level_keys_with_line_ends(spark):
+    path = fresh_path(spark, "two-level")
+    long = spark.createDataFrame([('m "q"\nx', "t,\r\n1", "C", "x", 0.5), ("plain", "t", "C", "x", 0.25)], "model string, temperature string, classifier string, metric string, value double")
+    two_level.write_two_level(results.pivot_results(long, KEYS, [("C", "x")]), path, KEYS, [("C", "x")])
+    got = sorted((r.model, r.temperature, r.value) for r in two_level.read_two_level(spark, path).collect())
+    assert got == [('m "q"\nx', "t,\r\n1", 0.5), ("plain", "t", 0.25)]
+
+
+def test_columns_of_one_name_are_refused(spark):
+    table = spark.createDataFrame([("m", "SVM", "sent_f1", 1.0)], "model string, classifier string, metric string, value double")
+    with pytest.raises(ValueError, match="SVM_sent_f1"):
+        results.pivot_results(table, ["model"], [("SVM", "sent_f1"), ("SVM_sent", "f1")])
