@@ -15,13 +15,14 @@ stages 2 to 4 on their own keep, keep and drop them (a text without words fills
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import binary_ids, contamination, jaccard, language, mixing
 from palimpsest.llm.tables import few, lean
-from palimpsest.workspace import stored
+from palimpsest.workspace import remove, stored, tracked
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,6 +52,24 @@ def _without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return docs.join(gone, key, "left_anti")
 
 
+_left: list[str] = []  # intermediate tables of the stages before
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, after removing the intermediate tables of stages before, which ``docs`` does not read: their results are stored."""
+    @wraps(stage)
+    def run_tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        gone = [path for path in _left if not any(path in name for name in read)]
+        remove(spark, gone)
+        with tracked() as made:
+            out = stage(spark, docs, sf_dir)
+        _left[:] = [path for path in _left if path not in gone] + made
+        return out
+    return run_tidy
+
+
+@tidy
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
     found = language.label(_named(rows, key), language.train(_named(rows, key)))
@@ -58,23 +77,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(rows, key, rejected).select(docs.columns)
 
 
+@tidy
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
     groups = jaccard.near_duplicates(_named(rows, key))
     return _without(rows, key, groups.filter("doc_id <> component_id")).select(docs.columns)
 
 
+@tidy
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
     report = contamination.contamination_report(_named(rows, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(rows, key, report.filter("contaminated")).select(docs.columns)
 
 
+@tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
     return mixing.mixed(rows, key).select(docs.columns)
 
 
+@tidy
 def ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_tracks: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/palimpsest/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/palimpsest/{purpose}-{uuid.uuid4().hex}"
+    for made in _tracks:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths that fresh_path() gives inside, for a caller who knows when they are no longer read."""
+    made: list[str] = []
+    _tracks.append(made)
+    try:
+        yield made
+    finally:
+        _tracks[:] = [t for t in _tracks if t is not made]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths that fresh_path() gave."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
