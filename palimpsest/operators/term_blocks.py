@@ -4,7 +4,7 @@ Every term of the training texts gets a dense id by distributed numbering, and n
 several training sets: its terms are counted once, and only weights that depend on the set (IDF) are made per set.
 
 A block is a sparse matrix of some rows of one set: row numbers, labels, term ids and values in binary columns. Rows are dealt to blocks by
-a hash of their number, as many blocks as the set's entries ask for, so that a block is a few megabytes whatever the set's size. The last
+a hash of their number, as many blocks as the set's entries ask for, so that a block is some 40 megabytes whatever the set's size. The last
 column of every row is the intercept, a term of value 1 with id -1; rows without terms have it alone.
 """
 
@@ -22,7 +22,7 @@ from palimpsest.operators.skew import salted_lookup
 from palimpsest.workspace import stored
 
 INTERCEPT = -1
-BLOCK_ENTRIES = 400_000
+BLOCK_ENTRIES = 3_000_000  # some 40 MB packed; fits of one block end in a round, so fewer blocks are better
 FEATURES = ("TFIDF", "BOW")
 BLOCK = "set string, block int, rows binary, labels binary, starts binary, ids binary, cols binary, vals binary"
 
@@ -31,7 +31,7 @@ BLOCK = "set string, block int, rows binary, labels binary, starts binary, ids b
 class TermBlocks:
     terms: DataFrame   # (set, term_id, term, df, idf), stored; idf is 1 for plain counts
     blocks: DataFrame  # see BLOCK, stored
-    uses: DataFrame    # (set, term_id, block): which blocks have which terms; stored
+    uses: DataFrame | None  # (set, term_id, block): which blocks have which terms; stored; None where every set has one block
     sizes: dict[str, tuple[int, int]]  # rows and blocks of each set
 
 
@@ -47,7 +47,7 @@ def row_terms(texts: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
 
 def term_dictionary(terms: DataFrame) -> DataFrame:
     """(term, term_id): every distinct term with its place in the order of all."""
-    return stored(number_rows(terms.select("term").distinct(), ["term"], "term_id"), "terms")
+    return number_rows(terms.select("term").distinct(), ["term"], "term_id")
 
 
 def term_blocks(texts: DataFrame, tokens: Column, feature: str = "TFIDF", entries: int = BLOCK_ENTRIES) -> TermBlocks:
@@ -74,7 +74,9 @@ def term_blocks(texts: DataFrame, tokens: Column, feature: str = "TFIDF", entrie
     cells = cells.unionByName(members.select("set", "row_id", F.lit(INTERCEPT).cast("long").alias("term_id"), F.lit(1.0).alias("value"), "label"))
     packed = cells.withColumn("block", block).groupBy("set", "block").applyInArrow(pack_cells(feature == "TFIDF"), BLOCK)
     blocks = stored(packed, "term-blocks")
-    uses = stored(blocks.select("set", "block", "ids").mapInArrow(_ids, "set string, block int, term_id long"), "term-uses")
+    uses = None
+    if any(k > 1 for _, k in sizes.values()):
+        uses = stored(blocks.select("set", "block", "ids").mapInArrow(_ids, "set string, block int, term_id long"), "term-uses")
     return TermBlocks(terms, blocks, uses, sizes)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import pairing, results
 from palimpsest.sources import corpus, predictions, runs
 from palimpsest.sources import results as two_level
-from palimpsest.workspace import durable, fresh_path, shared_dir, stored
+from palimpsest.workspace import durable, fresh_path, remove, shared_dir, stored, tracked
 
 KEYS = ["model", "temperature"]
 
@@ -142,3 +142,17 @@ def test_columns_of_one_name_are_refused(spark):
     table = spark.createDataFrame([("m", "SVM", "sent_f1", 1.0)], "model string, classifier string, metric string, value double")
     with pytest.raises(ValueError, match="SVM_sent_f1"):
         results.pivot_results(table, ["model"], [("SVM", "sent_f1"), ("SVM_sent", "f1")])
+
+
+def test_tracked_paths_can_be_removed(spark):
+    table = spark.range(3)
+    with tracked() as made:
+        inner = stored(table, "inner")
+        with tracked() as deeper:
+            kept = stored(table, "kept")
+    outer = stored(table, "outer")
+    assert len(made) == 2 and len(deeper) == 1 and kept.count() == 3
+    remove(spark, [p for p in made if p not in deeper])
+    assert kept.count() == outer.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        inner.count()
