@@ -100,3 +100,13 @@ def test_a_clean_text_in_three_languages_stays(spark):
     assert found[1000].score < 0.5 and {s.lang for s in found[1000].spans} == set(words)
     kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
     assert kept == {r[0] for r in rows} - {1001}
+
+
+def test_a_column_named_like_the_key_stays(spark, tmp_path):
+    rows = [(i, f"the cat and the dog went over to that house number {i} with them all", "en", "s", 100 + i) for i in range(12)] + [(None, "der Hund und die Katze gingen", "de", "s", 7), (3, None, "de", "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _document int")
+    for stage in (corpus_pipeline.duplicates_stage, corpus_pipeline.mixing_stage):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        values = {r._document for r in out.collect()}
+        assert values <= {r[4] for r in rows} and len(values) > 1
