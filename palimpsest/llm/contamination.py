@@ -212,7 +212,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def documents_hit(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0, query_words: int = QUERY_WORDS) -> DataFrame:
     """doc_id, n_words, starts, ends, items for every row of (doc_id, text); empty lists where nothing matches."""
-    with wide_rows(docs.sparkSession, 200):
+    with wide_rows(docs.sparkSession, 50):
         index = stored(build_index(docs), "postings")
     found = None
     for windows in query_blocks(benchmark, width, query_words):

@@ -20,7 +20,7 @@ def lean(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
 
 
 @contextmanager
-def wide_rows(spark: SparkSession, rows: int = 16) -> Iterator[None]:
+def wide_rows(spark: SparkSession, rows: int = 4) -> Iterator[None]:
     """Arrow batches of few rows for what is written inside: a batch of packed rows lies outside the heap, in the JVM and in Python."""
     before = spark.conf.get(_ROWS)
     spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
