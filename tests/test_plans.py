@@ -9,7 +9,7 @@ from palimpsest.operators import documents as docs
 from palimpsest.operators import numbering as num
 from palimpsest.operators import training_log as tl
 from palimpsest.operators import vocabulary as voc
-from palimpsest.operators.skew import default_salts, salted_lookup
+from palimpsest.operators.skew import default_salts, hot_keys, salted_copies, salted_lookup
 
 SF = "/root/testdata/sf0.001"
 PLANNED = ["quality_report", "tfidf", "tfidf_cosine", "perplexity", "embedding_cosine", "lexical_overlap", "bow_counts", "row_ids",
@@ -51,6 +51,18 @@ def test_salts_spread_one_hot_key(spark):
     assert default_salts(rows) == 2   # eight shuffle partitions
 
 
+def test_only_hot_keys_of_a_lookup_are_copied(spark):
+    lookup = spark.range(20_000).select(F.concat(F.lit("w"), "id").alias("k"), F.col("id").alias("v"))
+    hot = F.when(F.col("id") % 4 == 0, F.lit("w7")).otherwise(F.concat(F.lit("w"), F.col("id") % 20_500))
+    rows = spark.range(60_000).select(F.when(F.col("id") % 1000 != 1, hot).alias("k"), "id")   # w7 hot, some keys unknown, some null
+    assert [r.k for r in hot_keys(rows, ["k"], ["id"]).collect()] == ["w7"]
+    copies = salted_copies(lookup, hot_keys(rows, ["k"], ["id"]), ["k"], 16)
+    assert copies.count() == 20_000 + 15 and copies.columns == ["k", "v", "_salt"]
+    plain = lambda how: sorted(map(str, rows.join(lookup, "k", how).collect()))
+    for how in ("inner", "left", "left_anti"):
+        assert sorted(map(str, salted_lookup(rows, lookup, ["k"], ["id"], how, salts=16).collect())) == plain(how)
+
+
 def test_exchanges_are_shared(spark, big_sides):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
