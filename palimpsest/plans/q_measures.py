@@ -382,10 +382,11 @@ def bleu_n(spark, sf):
 
 def knob_pairs(spark, sf):
     """Pairs under two systems: the answers, and the built-in rewriter with two knobs."""
-    rewritten = tx.disfluency_rewrite(F.col("text"))
+    pairs = fx.pairs_null(spark, sf).withColumn("_rewritten", tx.disfluency_rewrite(F.col("text")))   # once for both knobs
+    rewritten = F.col("_rewritten")
     runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("temperature"), c.alias("adv_text")) for m, t, c in (
         ("answers", "t0", F.col("adv_text")), ("rewriter", "t0", rewritten), ("rewriter", "t1", F.lower(rewritten)))])
-    return fx.pairs_null(spark, sf).select(*KEYS, "text", "label", F.inline(runs))
+    return pairs.select(*KEYS, "text", "label", F.inline(runs))
 
 
 _RUNS = f"""SELECT doc_id, sent_id, text, label, 'answers' AS model, 't0' AS temperature, adv_text FROM v_pair_null

@@ -10,6 +10,7 @@ from palimpsest.operators import numbering as num
 from palimpsest.operators import training_log as tl
 from palimpsest.operators import vocabulary as voc
 from palimpsest.operators.skew import default_salts, hot_keys, salted_copies, salted_lookup
+from palimpsest.plans import q_measures, q_models
 
 SF = "/root/testdata/sf0.001"
 PLANNED = ["quality_report", "tfidf", "tfidf_cosine", "perplexity", "embedding_cosine", "lexical_overlap", "bow_counts", "row_ids",
@@ -63,6 +64,19 @@ def test_only_hot_keys_of_a_lookup_are_copied(spark):
         assert sorted(map(str, salted_lookup(rows, lookup, ["k"], ["id"], how, salts=16).collect())) == plain(how)
 
 
+def test_rewrites_are_worked_out_once(spark):
+    docs = spark.createDataFrame([(1, "I I um said, so-so said")], "doc_id long, text string")
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized(docs.select(tx.disfluency_rewrite(F.col("text")).alias("r"))).count("regexp_extract_all") == 1
+    runs = q_models._knobs(docs)
+    assert optimized(runs).count("regexp_extract_all") == 1
+    assert "regexp_extract_all" not in optimized(runs.select("system", "temperature").distinct())   # the knobs alone
+    assert runs.columns == ["doc_id", "text", "system", "temperature", "adv_text"]
+    once = docs.select(tx.disfluency_rewrite(F.col("text"))).first()[0]
+    assert [(r.temperature, r.adv_text) for r in runs.orderBy("temperature").collect()] == [("t0", once), ("t1", once.lower())]
+    assert optimized(q_measures.knob_pairs(spark, SF)).count("regexp_extract_all") == 1
+
+
 def test_exchanges_are_shared(spark, big_sides):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
