@@ -96,7 +96,7 @@ def predict_kernel(model: KernelModel, df: DataFrame, text: str = "text", rows:
     """The columns of ``df`` but the text, with pred (0 or 1) and the margin as score."""
     keys = [c for c in df.columns if c != text]
     asked = numbered_rows(df.select(*keys, F.coalesce(text, F.lit("")).alias("_text")), "row_id")
-    known = salted_lookup(row_terms(asked, ["row_id"], tokens(F.col("_text"))), model.terms, ["term"], ["row_id"])
+    known = salted_lookup(row_terms(asked, ["row_id"], tokens(F.col("_text"))), model.terms, ["term"], ["row_id"], large=True)
     cells = known.select("row_id", "term_id", (F.col("tf") * F.col("idf")).alias("value")).unionByName(asked.select("row_id", F.lit(INTERCEPT).cast("long").alias("term_id"), F.lit(1.0).alias("value")))
     blocks = max(1, -(-asked.count() // rows))
     dealt = cells.select(F.lit(ALL).alias("set"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("block"), "row_id", "term_id", "value", F.lit(0.0).alias("label"))

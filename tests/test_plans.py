@@ -64,6 +64,26 @@ def test_only_hot_keys_of_a_lookup_are_copied(spark):
         assert sorted(map(str, salted_lookup(rows, lookup, ["k"], ["id"], how, salts=16).collect())) == plain(how)
 
 
+def test_stored_vocabularies_are_not_broadcast(spark):
+    from palimpsest.plans import text_models as tm
+
+    rows = [(i, f"w{i} w{i + 1} all", i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    models = tm.fit_many(train, ["LR", "RF"])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        asked, splits = plan(tm.predict_many(models, train)), plan(q_models.term_splits(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = [line for line in asked.split("\n") if "BroadcastHashJoin" in line]
+    assert joins and not any("_salt" in line for line in joins)   # hot keys and intercepts alone
+    scored = tm.predict_many(models, train).groupBy("classifier").count().collect()
+    assert sorted((r.classifier, r["count"]) for r in scored) == [("LR", 40), ("RF", 40)]
+    assert models.nodes.where("term IS NOT NULL").count() and models.nodes.where("term IS NULL").count()
+    assert not any("[term_id" in line for line in splits.split("\n") if "BroadcastHashJoin" in line)
+
+
 def test_rewrites_are_worked_out_once(spark):
     docs = spark.createDataFrame([(1, "I I um said, so-so said")], "doc_id long, text string")
     optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
