@@ -17,6 +17,11 @@ is finished, so a group of near copies costs pairs in proportion to its size. Tw
 of an open list; what is left, pairs of different components in one list, is enumerated whole, by halves of the components' ranks, so
 no pair inside a component is ever formed. Every linked pair is therefore verified or already connected.
 
+Signatures. The first pass gives each document ``BITS`` bits: a shingle flips one, chosen by a hash. Two sets of n and m
+shingles that differ in d have signatures that differ in d bits at most, and similar ones have (100 + percent) d <=
+(100 - percent) (n + m). A pair whose signatures differ in more bits is not similar, so it is dropped before its sets are
+fetched, in the last turn inside the join that makes the pairs. No similar pair is lost.
+
 Hot lists. A shingle whose counter marks it as hot (``HOT``) is dealt with a salt of the class, in the first pass; lists are
 reduced with map-side aggregation and joined by skew joins.
 
@@ -44,6 +49,8 @@ from palimpsest.workspace import stored
 WIDTH, PERCENT = 5, 75
 SKETCH, SLICES = 1 << 20, 64
 HOT, SALTS, SMALL = 20_000, 16, 300_000
+BITS = 1024
+SIGNS = [f"s{k}" for k in range(BITS // 64)]
 
 
 def shingles(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +99,18 @@ def _cell(value: np.ndarray) -> np.ndarray:
     return (mix(value ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
 
+def signatures(cuts: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A line of 64-bit numbers for each text: bit b says whether the text has an odd number of shingles with hash b."""
+    rows = len(cuts) - 1
+    bit = (mix(value ^ np.uint64(0xD1342543DE82EF95)) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(rows), np.diff(cuts)) * BITS + bit, minlength=rows * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1).view("<i8")
+
+
 def survey(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows of documents (doc_id, n, class) and rows of counters (slice, counts), from one pass; to be stored."""
+    """Rows of documents (doc_id, n, class, signature) and rows of counters (slice, counts), from one pass; to be stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n", "class", "slice", "counts", *SIGNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, at = np.zeros(SKETCH, np.uint32), None
@@ -104,12 +120,13 @@ def survey(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             cells, n = np.unique(_cell(value), return_counts=True)
             counts[cells] += n.astype(np.uint32)
             none = pa.nulls(block.rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(cls), none, pa.nulls(block.rows, pa.binary())], ["doc_id", "n", "class", "slice", "counts"])
+            signs = [pa.array(s) for s in np.ascontiguousarray(signatures(cuts, value).T)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(cls), none, pa.nulls(block.rows, pa.binary()), *signs], names)
         if at is not None:
             parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, at), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(np.arange(SLICES), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())],
-                                             ["doc_id", "n", "class", "slice", "counts"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, slice int, counts binary")
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, at), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(np.arange(SLICES), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()),
+                                              *(pa.nulls(SLICES, pa.int64()) for _ in SIGNS)], names)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class long, slice int, counts binary, " + ", ".join(f"{s} long" for s in SIGNS))
 
 
 def counters(found: DataFrame) -> np.ndarray:
@@ -240,25 +257,43 @@ def _fits(n: str, at: str, m: str, mat: str, percent: int):
     return F.least(F.col(n) - F.col(at), F.col(m) - F.col(mat)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
 
 
+def _close(n: str, m: str, x: str, y: str, percent: int):
+    """Do the signatures leave room for similarity? x and y: what goes before the names of the signature's columns."""
+    differing = sum((F.bit_count(F.col(x + s).bitwiseXOR(F.col(y + s))) for s in SIGNS[1:]), F.bit_count(F.col(x + SIGNS[0]).bitwiseXOR(F.col(y + SIGNS[0]))))
+    return differing * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+
+def _signed(signs: DataFrame, key: str, before: str) -> DataFrame:
+    return signs.select(F.col("class").alias(key), F.col("n").alias(before + "n"), *[F.col(s).alias(before + s) for s in SIGNS])
+
+
+def close_pairs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for similarity."""
+    pairs = _small(stored(pairs, "pairs"))
+    first = _signed(signs, "a", "x").join(pairs, "a")
+    other = _signed(signs, "b", "y").join(_small(pairs.select("b").distinct()), "b", "left_semi")
+    return first.join(other, "b").filter(_close("xn", "yn", "x", "y", percent)).select("a", "b")
+
+
 def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("class", "other").alias("a"), F.least("class", "other").alias("b")).distinct()
 
 
-def first_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+def first_pairs(lists: DataFrame, signs: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each class with one of the first classes of its lists, the one with most weight. Short lists weigh more: what few share
     tells most."""
     met = lists.filter("class <> centre").filter(_fits("n", "at", "m", "mat", percent))
     summed = met.groupBy("class", F.col("centre").alias("other")).agg(F.sum(1.0 / F.col("size")).alias("weight"))
-    return _named(summed.groupBy("class").agg(F.max(F.struct("weight", "other")).alias("x")).select("class", F.col("x.other").alias("other")))
+    return close_pairs(_named(summed.groupBy("class").agg(F.max(F.struct("weight", "other")).alias("x")).select("class", F.col("x.other").alias("other"))), signs, percent)
 
 
-def star_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+def star_pairs(lists: DataFrame, signs: DataFrame, percent: int, turn: int) -> DataFrame:
     """Lists (token, class, n, at, comp): each class with one class of another component, from its shortest list. Each turn
     has another member of every list in its middle."""
     centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "comp", "class", "n", "at")).alias("c"), F.count("*").alias("size"))
     both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp")).withColumns({"m": F.col("c.n"), "mat": F.col("c.at")})
     best = both.filter(_fits("n", "at", "m", "mat", percent)).groupBy("class").agg(F.min(F.struct("size", F.col("c.class").alias("other"))).alias("x"))
-    return _named(best.select("class", F.col("x.other").alias("other")))
+    return close_pairs(_named(best.select("class", F.col("x.other").alias("other"))), signs, percent)
 
 
 def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -269,19 +304,19 @@ def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.join(_small(stored(several, "open-tokens")), F.col("token") == F.col("t"), "left_semi"), "open-lists")
 
 
-def crossing_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """All pairs of a list's members that lie in different components and fit."""
+def crossing_pairs(lists: DataFrame, signs: DataFrame, percent: int, turn: int) -> DataFrame:
+    """All pairs of a list's members that lie in different components and fit, by places and by signatures."""
     from pyspark.sql import Window
 
     ranks = lists.select("token", "comp").distinct().withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("comp")) - 1)
     top = ranks.groupBy("token").agg(F.max("r").alias("top")).filter("top > 0")
-    ranked = lists.join(ranks.join(top, "token"), ["token", "comp"])
+    signs = signs.drop("n").join(_small(stored(lists.select("class").distinct(), "open-classes")), "class", "left_semi")
+    ranked = lists.join(ranks.join(top, "token"), ["token", "comp"]).join(signs, "class")
     # different ranks differ first in one bit: there, halves of a run of ranks meet
     at = ranked.withColumn("bit", F.explode(F.expr("sequence(0, cast(floor(log2(top)) as int))")))
-    side = at.select("token", "bit", F.expr("shiftright(r, bit + 1)").alias("run"), (F.expr("shiftright(r, bit)") % 2).alias("half"), "class", "n", "at")
-    left = side.filter("half = 0").select("token", "bit", "run", F.col("class").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"))
-    right = side.filter("half = 1").select("token", "bit", "run", F.col("class").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"))
-    met = left.join(right, ["token", "bit", "run"]).filter(_fits("xn", "xat", "yn", "yat", percent))
+    side = at.select("token", "bit", F.expr("shiftright(r, bit + 1)").alias("run"), (F.expr("shiftright(r, bit)") % 2).alias("half"), "class", "n", "at", *SIGNS)
+    half = lambda k, x: side.filter(f"half = {k}").select("token", "bit", "run", F.col("class").alias(x), *[F.col(c).alias(x + c) for c in ("n", "at", *SIGNS)])
+    met = half(0, "x").join(half(1, "y"), ["token", "bit", "run"]).filter(_fits("xn", "xat", "yn", "yat", percent) & _close("xn", "yn", "x", "y", percent))
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -353,11 +388,13 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     table = spark.sparkContext.broadcast(counters(found))
     lists = stored(meeting(postings(docs, table, width, percent), percent), "shared-shingles")
     namesakes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # equal sets have equal signatures
+    signs = stored(found.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), *[F.max(s).alias(s) for s in SIGNS]), "signatures")
 
     links = sets = None
     for turn, make in enumerate((first_pairs, star_pairs, star_pairs, crossing_pairs)):
         lists = lists if links is None else open_lists(lists, links)
-        pairs = stored(make(lists, percent, turn), "pairs")
+        pairs = stored(make(lists, signs, percent, turn), "pairs")
         ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         if sets is not None:
             ends = ends.join(_small(sets.select("class")), "class", "left_anti")

@@ -123,3 +123,29 @@ def test_chains_and_hubs(spark):
     got = dict((r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in range(100, 141)} == {100} and {got[i] for i in range(1, 60)} == {1} and got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_signatures_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
+    for kept in (0, 1, 150, 290, 300):
+        other = np.concatenate([base[:kept], rng.integers(1, 1 << 62, 40, dtype=np.uint64)])
+        a, b = jaccard.signatures(np.array([0, 300, 300, 340 + kept]), np.concatenate([base, other]))[[0, 2]]
+        differing = sum(int(x ^ y).bit_count() for x, y in zip(a.view(np.uint64), b.view(np.uint64)))
+        assert differing <= 300 - kept + 40 and differing % 2 == (300 - kept + 40) % 2
+    assert not jaccard.signatures(np.array([0, 0]), np.zeros(0, np.uint64)).any()
+
+
+def test_unlike_members_of_a_list_make_no_pairs(spark):
+    """A list of n classes that share one shingle gave n (n - 1) / 2 pairs to verify."""
+    rng = np.random.default_rng(6)
+    sets = rng.integers(1, 1 << 62, (200, 40), dtype=np.uint64)
+    sets[:, 0] = 7
+    sets[199] = sets[0]
+    sets[199, 39] = 8   # 39 of 41
+    signs = jaccard.signatures(np.arange(201) * 40, sets.ravel())
+    signed = spark.createDataFrame([(i, 40, *map(int, s)) for i, s in enumerate(signs)], "class long, n long, " + ", ".join(f"{c} long" for c in jaccard.SIGNS))
+    lists = spark.createDataFrame([(7, i, 40, 0, i) for i in range(200)], "token long, class long, n int, at int, comp long")
+    assert [tuple(r) for r in jaccard.crossing_pairs(lists, signed, 75, 3).collect()] == [(199, 0)]
+    pairs = spark.createDataFrame([(199, 0), (5, 4), (3, 2)], "a long, b long")
+    assert [tuple(r) for r in jaccard.close_pairs(pairs, signed, 75).collect()] == [(199, 0)]
