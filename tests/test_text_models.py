@@ -247,3 +247,33 @@ def test_kernel_separates_what_no_line_does(spark):
     model = kernel.fit_kernel(frame(spark, rows), features=1024, cost=10.0, gamma=2.0)
     got = kernel.predict_kernel(model, frame(spark, rows[:8] + [(100, "unknown", 1), (101, None, 0)])).collect()
     assert len(got) == 10 and {r.doc_id: r.pred for r in got if r.doc_id < 99} == {i: y for i, _, y in rows[:8]} and model.gap < 1e-6
+
+
+def test_weights_known_to_a_block_are_read_as_arrays():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from palimpsest.operators.term_blocks import BLOCK, INTERCEPT
+    from palimpsest.plans import linear
+
+    n = 200_000
+    ids = np.append(INTERCEPT, np.arange(n))
+    packed = {"rows": np.arange(2), "labels": np.array([0.0, 1.0]), "starts": np.array([0, n + 1, n + 2]), "ids": ids,
+              "cols": np.append(np.arange(n + 1), 0).astype("<i4"), "vals": np.append(np.full(n + 1, 0.001), 1.0)}
+    block = pa.table({"set": ["all"], "block": pa.array([0], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()}})
+    assert [c.split()[0] for c in BLOCK.split(", ")] == block.column_names
+    old = np.array([0.25, 0.5])
+    known = pa.table({"loss": ["logistic"] * (n + 2), "term_id": pa.array([None, *ids.tolist()], pa.int64()), "value": pa.array([None] + [0.5] * (n + 1), pa.float64()),
+                      "alpha": pa.array([old.tobytes()] + [None] * (n + 1), pa.binary())})
+    alpha, terms, values = linear._of_loss(known, "logistic")
+    assert alpha.tolist() == old.tolist() and terms.tolist() == ids.tolist() and set(values.tolist()) == {0.5}
+    assert linear._of_loss(known, "hinge")[0] is None and not len(linear._of_loss(known, "hinge")[1])
+    work = linear._round([linear.Problem("all", "logistic", 1.0)], {"all": (4, 2)}, 2, 1e-7)
+    tracemalloc.start()
+    out = work(block, known).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1 and len(np.frombuffer(out[0]["alpha"], "<f8")) == 2
+    assert peak < 200 * n   # some arrays; a Python row each takes more than twice that
