@@ -131,6 +131,18 @@ def test_perplexity(spark):
     assert got == {i: pytest.approx(math.exp(-np.mean(np.log(p)))) for i, p in ((1, p1), (2, p2))}
 
 
+def test_perplexity_does_not_shuffle_bigrams_by_text(spark):
+    corpus = spark.createDataFrame([("aa bb aa bb cc",), ("bb cc",)], "t string")
+    texts = spark.createDataFrame([(1, "aa bb aa bb"), (1, "bb cc"), (None, "aa bb"), (2, "aa"), (3, None)], "id int, t string")   # repeated and null keys
+    found = voc.perplexity(corpus, tx.tokens(F.col("t")), texts, ["id"], tx.tokens(F.col("t")))
+    pair = {"ab": (2, 2), "ba": (1, 3), "bc": (2, 3)}   # count of the pair, and of pairs that begin so
+    logs = {k: math.log((n + 0.1) / (of + 0.1 * 3)) for k, (n, of) in pair.items()}
+    got = {r.id: r.perplexity for r in found.collect()}
+    assert got == pytest.approx({1: math.exp(-(2 * logs["ab"] + logs["ba"] + logs["bc"]) / 4), None: math.exp(-logs["ab"])})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and not any("hashpartitioning(id" in line and "w1" in line.split("hashpartitioning")[1] for line in plan.split("\n"))
+
+
 def test_rouge_and_bleu(spark):
     rows = spark.createDataFrame([(1, "a b c d e", "a b c d x"), (2, "", ""), (3, "a a", "a")], "id long, r string, h string")
     ref, hyp = tx.words(F.col("r")), tx.words(F.col("h"))
