@@ -13,9 +13,10 @@ Classes. Documents with equal sets are one class (hash of the sorted set); tasks
 Candidates. Postings of the order-A prefixes are dealt by shingle and kept where two classes meet. Instead of all pairs of a
 list, each class is paired with the first class of one of its lists, if sizes and places in the order allow it. A pair then must share an order-B prefix shingle
 (``arrays_overlap``), and the rest is verified on whole sets. Verified links make components; a list inside one component
-is finished, so a group of near copies costs pairs in proportion to its size. Two more rounds pair classes with one of another component
-of an open list; what is left, pairs of different components in one list, is enumerated whole, by halves of the components' ranks, so
-no pair inside a component is ever formed. Every linked pair is therefore verified or already connected.
+is finished, so a group of near copies costs pairs in proportion to its size. A second round pairs each class with ``CENTRES`` members, of
+other components, of each of its open lists; what is left, pairs of different components in one list, is enumerated whole, by halves of
+the components' ranks, so no pair inside a component is ever formed. Every linked pair is therefore verified or already connected.
+Near copies share most of their prefixes, so many lists have the same members: of those, the first in the order stands for all.
 
 Signatures. The first pass gives each document ``BITS`` bits: a shingle flips one, chosen by a hash. Two sets of n and m
 shingles that differ in d have signatures that differ in d bits at most, and similar ones have (100 + percent) d <=
@@ -49,6 +50,7 @@ from palimpsest.workspace import stored
 WIDTH, PERCENT = 5, 75
 SKETCH, SLICES = 1 << 20, 64
 HOT, SALTS, SMALL = 20_000, 16, 300_000
+CENTRES = 8
 BITS = 1024
 SIGNS = [f"s{k}" for k in range(BITS // 64)]
 
@@ -288,20 +290,24 @@ def first_pairs(lists: DataFrame, signs: DataFrame, percent: int, turn: int) ->
 
 
 def star_pairs(lists: DataFrame, signs: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Lists (token, class, n, at, comp): each class with one class of another component, from its shortest list. Each turn
-    has another member of every list in its middle."""
-    centre = lists.groupBy(F.col("token").alias("t")).agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "comp", "class", "n", "at")).alias("c"), F.count("*").alias("size"))
-    both = lists.join(centre, F.col("token") == F.col("t")).filter(F.col("comp") != F.col("c.comp")).withColumns({"m": F.col("c.n"), "mat": F.col("c.at")})
-    best = both.filter(_fits("n", "at", "m", "mat", percent)).groupBy("class").agg(F.min(F.struct("size", F.col("c.class").alias("other"))).alias("x"))
-    return close_pairs(_named(best.select("class", F.col("x.other").alias("other"))), signs, percent)
+    """Lists (token, class, n, at, comp): each class with those of its lists' ``CENTRES`` chosen members that are of another
+    component. Each turn chooses others."""
+    chosen = F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(turn * CENTRES + k)).alias("h"), "comp", F.col("class").alias("other"), F.col("n").alias("m"), F.col("at").alias("mat"))) for k in range(CENTRES)])
+    centres = lists.groupBy(F.col("token").alias("t")).agg(chosen.alias("centres"))
+    both = lists.join(centres, F.col("token") == F.col("t")).select("class", "n", "at", "comp", F.explode(F.array_distinct("centres")).alias("c"))
+    met = both.filter(F.col("comp") != F.col("c.comp")).select("class", "n", "at", "c.other", "c.m", "c.mat")
+    return close_pairs(_named(met.filter(_fits("n", "at", "m", "mat", percent))), signs, percent)
 
 
 def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, class, n, at, comp) of the lists that hold several components."""
+    """(token, class, n, at, comp) of the lists that hold several components; of lists with the same members, the one whose
+    shingle is first in the order, where the members' places are least: whom it does not let meet, the others don't."""
     comps = _small(stored(components(links), "components")).withColumnRenamed("node", "class")
     named = lists.select("token", "class", "n", "at").join(comps, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-    several = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select(F.col("token").alias("t"))
-    return stored(named.join(_small(stored(several, "open-tokens")), F.col("token") == F.col("t"), "left_semi"), "open-lists")
+    members = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"members{k}") for k in range(2)]
+    several = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min("at").alias("first"), *members).filter("low <> high")
+    told = several.groupBy("size", "members0", "members1").agg(F.min(F.struct("first", "token")).alias("x")).select(F.col("x.token").alias("t"))
+    return stored(named.join(_small(stored(told, "open-tokens")), F.col("token") == F.col("t"), "left_semi"), "open-lists")
 
 
 def crossing_pairs(lists: DataFrame, signs: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -392,7 +398,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signs = stored(found.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), *[F.max(s).alias(s) for s in SIGNS]), "signatures")
 
     links = sets = None
-    for turn, make in enumerate((first_pairs, star_pairs, star_pairs, crossing_pairs)):
+    for turn, make in enumerate((first_pairs, star_pairs, crossing_pairs)):
         lists = lists if links is None else open_lists(lists, links)
         pairs = stored(make(lists, signs, percent, turn), "pairs")
         ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()

@@ -149,3 +149,29 @@ def test_unlike_members_of_a_list_make_no_pairs(spark):
     assert [tuple(r) for r in jaccard.crossing_pairs(lists, signed, 75, 3).collect()] == [(199, 0)]
     pairs = spark.createDataFrame([(199, 0), (5, 4), (3, 2)], "a long, b long")
     assert [tuple(r) for r in jaccard.close_pairs(pairs, signed, 75).collect()] == [(199, 0)]
+
+
+def test_a_class_meets_several_members_of_its_lists(spark):
+    """Each class met one member of one list, so a large group of near copies stayed in many components, whose pairs were all made."""
+    shared = np.arange(1, 41, dtype=np.uint64)
+    sets = np.tile(shared, (24, 1))
+    signs = jaccard.signatures(np.arange(25) * 40, sets.ravel())
+    signed = spark.createDataFrame([(i, 40, *map(int, s)) for i, s in enumerate(signs)], "class long, n long, " + ", ".join(f"{c} long" for c in jaccard.SIGNS))
+    lists = spark.createDataFrame([(t, i, 40, 0, i) for t in (7, 8) for i in range(24)], "token long, class long, n int, at int, comp long")
+    pairs = [tuple(r) for r in jaccard.star_pairs(lists, signed, 75, 1).collect()]
+    assert len(pairs) == len(set(pairs)) and all(a > b for a, b in pairs)
+    met = defaultdict(set)
+    for a, b in pairs:
+        met[a].add(b)
+        met[b].add(a)
+    assert len(met) == 24 and min(map(len, met.values())) > 2 and len(pairs) < 24 * 23 / 2
+
+
+def test_lists_with_the_same_members_are_one(spark):
+    """Near copies share most of their shingles: each of these gave all pairs of the list again."""
+    place = {50: 2, 60: 0, 70: 5}
+    rows = [(t, c, 40, at + c, 2, 40, 0, 3) for t, at in place.items() for c in (1, 2, 3)] + [(80, 1, 40, 9, 1, 40, 9, 2), (80, 3, 40, 9, 1, 40, 9, 2), (90, 1, 40, 9, 1, 40, 9, 2), (90, 2, 40, 9, 1, 40, 9, 2)]
+    lists = spark.createDataFrame(rows, "token long, class long, n int, at int, centre long, m int, mat int, size int")
+    got = jaccard.open_lists(lists, spark.createDataFrame([(2, 1)], "a long, b long"))
+    # list 90 lies in one component; 60 stands for 50 and 70, as its shingle is first in the order
+    assert sorted((r.token, r["class"], r.at, r.comp) for r in got.collect()) == [(60, 1, 1, 1), (60, 2, 2, 1), (60, 3, 3, 3), (80, 1, 9, 1), (80, 3, 9, 3)]
