@@ -24,19 +24,23 @@ from palimpsest.plans.linear import Problem, fit_linear
 from palimpsest.plans.text_models import ALL, TFIDF_COST, training_blocks
 from palimpsest.workspace import stored
 
-FEATURES, SEED, STEP = 512, 42, 64
+FEATURES, SEED, STEP, CELLS = 512, 42, 64, 50_000
 
 
 def projections(m: Matrix, gamma: float, size: int, seed: int) -> np.ndarray:
     """The features z of every row of a block: one line a row."""
     real = m.ids != INTERCEPT
     out = np.empty((len(m.rows), size))
+    cuts = [0, *(np.flatnonzero(np.diff(m.starts[:-1] // CELLS)) + 1).tolist(), len(m.rows)]  # some rows at a time: their products take 512 bytes an entry
     for a in range(0, size, STEP):
         j = np.arange(a, min(a + STEP, size))
         # two uniform numbers of a hash give one normal number
         u, v = (hashed(seed + k, m.ids[:, None], j[None, :]) for k in (0, 1))
         w = np.sqrt(-2 * np.log(np.maximum(u, 2.0**-60))) * np.cos(2 * np.pi * v) * real[:, None]
-        sums = np.add.reduceat(m.vals[:, None] * w[m.cols], m.starts[:-1], axis=0)
+        sums = np.empty((len(m.rows), len(j)))
+        for first, last in zip(cuts, cuts[1:]):
+            at = slice(m.starts[first], m.starts[last])
+            sums[first:last] = np.add.reduceat(m.vals[at, None] * w[m.cols[at]], m.starts[first:last] - at.start, axis=0)
         out[:, j] = np.cos(np.sqrt(2 * gamma) * sums + 2 * np.pi * hashed(seed + 2, j)[None, :])
     return np.sqrt(2 / size) * out
 

@@ -292,3 +292,67 @@ def test_a_round_of_one_block_among_several_is_single_steps(monkeypatch):
     alpha, w = np.zeros(n), np.zeros(k + 1)
     linear._better_hinge(m, y, alpha, w, np.ones(n), 2, 1, 1e-7)
     assert ((alpha >= 0) & (alpha <= 1)).all() and alpha.any() and np.allclose(w, 2 * x.T @ (alpha * y))
+
+
+@pytest.mark.parametrize("feature", ["TFIDF", "BOW"])
+def test_a_set_of_several_blocks_is_fitted_whole(spark, feature):
+    """Rounds of blocks had a gap of 0.02 after 60."""
+    rows = texts(1, 70) + [(200 + i, "w1 w2 good", i % 2) for i in range(9)]  # equal rows in several blocks
+    data = prepared(spark, rows, feature, 200)
+    assert data.sizes[tm.ALL][1] > 2
+    fit = linear.fit_linear(data, PROBLEMS, tolerance=1e-11, rounds=5)
+    assert all(0 <= g <= 1e-11 for g in fit.gaps.values()) and len(fit.gaps) == 2
+    terms, x, y = matrix(rows, feature)
+    for p, want in zip(PROBLEMS, (descent_hinge(x, y, 0.5), newton_logistic(x, y, 1.5))):
+        got = fitted(data, fit, p.loss)
+        assert np.allclose([got.get(t, 0.0) for t in terms] + [got.get(INTERCEPT, 0.0)], want, atol=1e-6)
+
+
+def test_a_larger_set_goes_by_blocks_beside_whole_ones(spark, monkeypatch):
+    rows = [(*r, [tm.ALL, "large"] if r[0] < 30 else ["large"]) for r in texts(1, 70) if r[2] is not None]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int, sets array<string>").select("label", F.coalesce("text", F.lit("")).alias("text"), "sets")
+    data = tm.term_blocks(tm.numbered_rows(train), tm.tokens(F.col("text")), "TFIDF", 60)
+    assert all(k > 1 for _, k in data.sizes.values())
+    monkeypatch.setattr(linear, "WHOLE", 300)
+    fit = linear.fit_linear(data, [linear.Problem(s, "logistic", 1.5) for s in (tm.ALL, "large", "none")], tolerance=1e-3, rounds=150)
+    assert fit.gaps.keys() == {(tm.ALL, "logistic"), ("large", "logistic")} and all(0 <= g <= 1e-3 for g in fit.gaps.values()) and fit.rounds > 2
+    for s, part in ((tm.ALL, [r for r in rows if r[0] < 30]), ("large", rows)):
+        terms, x, y = matrix(part)
+        got, want = fitted(data, fit, "logistic", s), newton_logistic(x, y, 1.5)
+        w = np.array([got.get(t, 0.0) for t in terms] + [got.get(INTERCEPT, 0.0)])
+        assert ((w - want) ** 2).sum() <= 2e-3 * (w @ w / 2 + 1.5 * np.logaddexp(0, -y * (x @ w)).sum()) * 1.01
+
+
+def sparse(x):
+    cells = [np.flatnonzero(r) for r in x]
+    return linear.Matrix.of_arrays(np.arange(len(x)), np.ones(len(x)), np.concatenate([[0], np.cumsum([len(c) for c in cells])]), np.arange(x.shape[1]),
+                                   np.concatenate(cells).astype("<i4"), np.concatenate([r[c] for r, c in zip(x, cells)]))
+
+
+@pytest.mark.parametrize("cells", [0, 200, 10**6])
+def test_products_with_a_gram_table_that_is_not_made(cells):
+    rng = np.random.default_rng(3)
+    x = np.hstack([rng.random((60, 90)) * (rng.random((60, 90)) < 0.03), np.ones((60, 1))])
+    by, some = rng.standard_normal(60), np.flatnonzero(rng.random(60) < 0.5)
+    for rows in (None, some):
+        z = (x * by[:, None])[slice(None) if rows is None else rows]
+        a = rng.standard_normal(len(z))
+        assert np.allclose(linear.Gram(sparse(x), by, rows, cells).times(a), z @ (z.T @ a))
+
+
+def test_features_are_made_some_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = sparse(np.hstack([rng.random((40, 30)) * (rng.random((40, 30)) < 0.2), np.ones((40, 1))]))
+    want = kernel.projections(m, 1.0, 70, 1)
+    monkeypatch.setattr(kernel, "CELLS", 7)
+    assert (kernel.projections(m, 1.0, 70, 1) == want).all()
+    taken = []
+    add = np.add
+
+    class Watched:
+        def reduceat(self, cells, *a, **k):
+            taken.append(len(cells))
+            return add.reduceat(cells, *a, **k)
+    monkeypatch.setattr(kernel.np, "add", Watched())
+    kernel.projections(m, 1.0, 70, 1)
+    assert max(taken) < 7 + 31   # of some 270 entries
